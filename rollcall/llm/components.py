@@ -1,0 +1,49 @@
+"""Connected components of an edge table by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rollcall.llm.common import saved
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v")))
+
+
+def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+    """Label each node of ``edges(u, v)`` with the least node reachable: ``(node, component)``.
+
+    Nodes without an edge do not appear. Every round halves the depth of the
+    trees at least, so the number of rounds grows with the logarithm of the
+    largest component; each round's edges are written to the shared folder.
+    """
+    edges = edges.where("u <> v").select("u", "v")
+    edges = saved(edges.distinct(), name)
+    before = None
+    for _ in range(most_rounds):
+        edges = saved(_small_star(_large_star(edges).where("u <> v").distinct()).where("u <> v").distinct(), name)
+        now = tuple(
+            edges.agg(
+                F.count(F.lit(1)),
+                F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
+            ).first()
+        )
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    labels = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return labels.union(roots)
