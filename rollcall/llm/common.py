@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of ids or small statistics up to which a side may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -58,3 +59,8 @@ def ascii_lower(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it in ``body``, however often and in whatever lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def extended(schema: StructType, fields: str) -> StructType:
+    """``schema`` with the fields of a DDL string after its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(fields).fields])
