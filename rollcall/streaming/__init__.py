@@ -1,0 +1 @@
+"""Nothing here reads streams: name lists are whole files, and every operator reads whole tables."""
