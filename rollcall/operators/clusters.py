@@ -286,7 +286,8 @@ def _run(entries: DataFrame, pairs: DataFrame, names: DataFrame, keys: list[str]
         kernel(pool, rows, distance, near_raw)
         return pool.frame()
 
-    return entries.groupBy(*keys).cogroup(edges.unionByName(near).groupBy(*keys)).applyInPandas(run, _OUT)
+    facts = saved(edges.unionByName(near), "match-facts")
+    return entries.groupBy(*keys).cogroup(facts.groupBy(*keys)).applyInPandas(run, _OUT)
 
 
 def eligible_entries(parsed: DataFrame, title_ids: DataFrame) -> DataFrame:

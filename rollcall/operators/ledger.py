@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.sources.shared import saved
 from rollcall.sources.tables import LEDGER
 
 
@@ -98,7 +99,7 @@ def apply_ledger(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     a, b = slim.alias("a"), slim.alias("b")
     pairs = a.join(b, (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.entry_id") < F.col("b.entry_id")))
     pairs = pairs.select("a.group_id", F.col("a.entry_id").alias("entry_a"), F.col("b.entry_id").alias("entry_b"))
-    known = pairs.join(ledger.select("entry_a", "entry_b", "verdict"), ["entry_a", "entry_b"])
+    known = saved(pairs.join(ledger.select("entry_a", "entry_b", "verdict"), ["entry_a", "entry_b"]), "ledger-known")
 
     def run(key, rows: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         ids = rows.sort_values("row_ord").entry_id.tolist()
