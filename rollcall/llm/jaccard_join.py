@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import BROADCAST_ROWS, bounded_broadcast, saved
+from rollcall.llm.common import bounded_broadcast, extended, saved
 from rollcall.llm.components import connected_components
 from rollcall.llm.shingles import mix, shingle_sets
 
@@ -91,15 +91,15 @@ def _profile(width: int, percent: int):
 
 
 def _sets(width: int):
-    """Whole sets of the documents that are candidates, as bytes."""
-    schema = pa.schema([("cid", pa.int64()), ("grams", pa.binary())])
+    """Whole sets of the documents that are candidates, as bytes; the column of tasks stays."""
 
     def run(batches):
         for batch in batches:
-            cids, texts = batch.column("cid").to_pylist(), batch.column("text").to_pylist()
+            texts = batch.column("text").to_pylist()
             for lo, hi in _chunks(texts):
-                blobs = [g.tobytes() for g in shingle_sets(texts[lo:hi], width)]
-                yield pa.RecordBatch.from_arrays([pa.array(cids[lo:hi], pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
+                blobs = pa.array([g.tobytes() for g in shingle_sets(texts[lo:hi], width)], pa.binary())
+                rest = [batch.column(name).slice(lo, hi - lo) for name in ("cid", "tasks")]
+                yield pa.RecordBatch.from_arrays([*rest, blobs], names=["cid", "tasks", "grams"])
 
     return run
 
@@ -167,9 +167,10 @@ def _spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[
 
 def _candidates(profile: DataFrame, percent: int) -> DataFrame:
     """Rows (cid, n, gram): the rarest shared n-grams of each stretch, enough that linked sets have one in common."""
-    grams = profile.select("cid", "n", F.explode("grams").alias("gram"))
+    grams = profile.select("cid", F.explode("grams").alias("gram"))
     held = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = grams.join(held, "gram").groupBy("cid", "n").agg(F.array_sort(F.collect_set(F.struct("df", "gram"))).alias("rare"))
+    shared = grams.join(held, "gram").groupBy("cid").agg(F.array_sort(F.collect_set(F.struct("df", "gram"))).alias("rare"))
+    shared = shared.join(profile.select("cid", "n").distinct(), "cid")
     n = F.col("n")
     needed = F.floor((n * percent + 99) / 100).cast("long")
     kept = F.least(n, n - needed + F.greatest(F.lit(1), F.floor((n + 9) / 10).cast("long")))
@@ -221,15 +222,17 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     lead = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "key")
     nodes = profile.where("n > 0").select("doc_id", "key", "n", "cid")
     candidates = saved(_candidates(profile.where("size(grams) > 0"), percent), "jaccard-candidates")
-    firsts = candidates.groupBy("gram").agg(F.min("cid").alias("v"))
-    near = candidates.join(firsts, "gram").select(F.col("cid").alias("u"), "v")
+    leads = candidates.groupBy("gram").agg(F.min("cid").alias("v"))
+    near = candidates.join(leads, "gram").select(F.col("cid").alias("u"), "v")
     clusters = connected_components(near, "jaccard-clusters")
-    tasks = saved(_tasks(candidates, clusters, percent), "jaccard-tasks")
-    picked = nodes.join(tasks.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("key").alias("key"))
-    picked = bounded_broadcast(saved(picked, "jaccard-picked"))
-    sets = docs.join(picked, "key").select("cid", "text").mapInArrow(_sets(width), "cid bigint, grams binary")
-    sets = saved(sets, "jaccard-sets")
-    links = sets.join(tasks, "cid").select("task", "side", "cid", "grams").groupBy("task").applyInArrow(_compare(percent), "u bigint, v bigint")
+    tasks = _tasks(candidates, clusters, percent)
+    firsts = nodes.groupBy("cid").agg(F.min("key").alias("key"))
+    tasks = tasks.groupBy("cid").agg(F.collect_set(F.struct("task", "side")).alias("tasks"))
+    picked = bounded_broadcast(saved(tasks.join(firsts, "cid"), "jaccard-picked"))
+    chosen = docs.join(picked, "key").select("cid", "tasks", "text")
+    sets = chosen.mapInArrow(_sets(width), extended(chosen.select("cid", "tasks").schema, "grams binary"))
+    sets = sets.select("cid", "grams", F.explode("tasks").alias("x")).select("x.task", "x.side", "cid", "grams")
+    links = sets.groupBy("task").applyInArrow(_compare(percent), "u bigint, v bigint")
     joined = connected_components(links, "jaccard-links").select(F.col("node").alias("cid"), "component")
     classes = nodes.groupBy("cid").agg(F.min(lead).alias("first")).join(joined, "cid", "left")
     classes = classes.select("cid", "first", F.coalesce("component", "cid").alias("component"))
