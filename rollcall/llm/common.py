@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rollcall.sources.shared import saved, shared_dir
+
+__all__ = ["bounded_broadcast", "extended", "let", "saved", "shared_dir", "table"]
+
 #: Rows of ids or small statistics up to which a side may be broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -25,28 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one set here where it is unset."""
-    context = spark.sparkContext
-    if found := context.getCheckpointDir():
-        return found
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = tempfile.mkdtemp(prefix="rollcall-checkpoint-")
-    context.setCheckpointDir(path)
-    return context.getCheckpointDir()
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only if it has at most ``limit`` rows; a shuffle join does the rest."""
+    """Mark ``df`` for broadcast only if it has at most ``limit`` rows; a shuffle join does the rest.
+
+    ``rows`` is what counts instead, where a row holds several things. The rows
+    are counted, so ``df`` should be cheap to read, as what ``saved`` returns.
+    """
     rows = df.limit(limit + 1).count() if rows is None else rows
     return F.broadcast(df) if rows <= limit else df
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.common import bounded_broadcast, extended, saved
-from rollcall.llm.components import connected_components
+from rollcall.operators.components import connected_components
 from rollcall.llm.shingles import mix, shingle_sets
 
 #: Documents and n-grams that a block holds on average at most.
@@ -228,7 +228,8 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     tasks = _tasks(candidates, clusters, percent)
     firsts = nodes.groupBy("cid").agg(F.min("key").alias("key"))
     tasks = tasks.groupBy("cid").agg(F.collect_set(F.struct("task", "side")).alias("tasks"))
-    picked = bounded_broadcast(saved(tasks.join(firsts, "cid"), "jaccard-picked"))
+    picked = saved(tasks.join(firsts, "cid"), "jaccard-picked")
+    picked = bounded_broadcast(picked, rows=picked.agg(F.sum(F.size("tasks"))).first()[0] or 0)
     chosen = docs.join(picked, "key").select("cid", "tasks", "text")
     sets = chosen.mapInArrow(_sets(width), extended(chosen.select("cid", "tasks").schema, "grams binary"))
     sets = sets.select("cid", "grams", F.explode("tasks").alias("x")).select("x.task", "x.side", "cid", "grams")

@@ -232,8 +232,8 @@ def test_empty_tables(spark, empty, docs):
 
 def test_clashing_columns(docs):
     extra = docs.where("doc_id < 5").withColumns({c: F.lit("own") for c in ("size", "shard", "slot", "copies", "target", "n_lines", "n_dropped", "key", "row", "items", "n", "cid")})
-    assert assign_shards(extra).where("shard = 'own'").count() == 0
-    assert mixing_plan(extra).where("copies = 'own'").count() == 0
+    assert assign_shards(extra).where("cast(shard as string) = 'own'").count() == 0
+    assert mixing_plan(extra).where("cast(copies as string) = 'own'").count() == 0
     assert drop_repeated_lines(extra).where("n_lines < 1").count() == 0
     assert jaccard_components(extra).count() == 5 and one_per_group(extra).columns == extra.columns
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
