@@ -19,7 +19,7 @@ from rollcall.llm.common import extended
 
 #: Fitting: documents per language and windows per document at most, all from rows that are not held out.
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, TRAIN_WINDOW = 160, 6, 64
-HIDDEN, EPOCHS, BATCH, RATE, SEED = 8, 6, 128, 0.02, 7
+HIDDEN, STEPS, BATCH, RATE, SEED = 8, 300, 128, 0.02, 7
 #: Prediction: bytes of a window, and windows that are read at once.
 WINDOW, BLOCK = 128, 1024
 UNDETERMINED = "und"
@@ -108,8 +108,12 @@ def loss_and_gradients(net: Network, windows: np.ndarray, valid: np.ndarray, lab
     return loss, [d_embed, d_recur, d_out, d_bias]
 
 
-def train(samples: list[tuple[str, bytes]], hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Fit a network to (language, window) samples with Adam; the same samples give the same network."""
+def train(samples: list[tuple[str, bytes]], hidden: int = HIDDEN, steps: int = STEPS, seed: int = SEED) -> Network:
+    """Fit a network to (language, window) samples with Adam; the same samples give the same network.
+
+    Takes ``steps`` steps in whatever number of passes, so that few samples are
+    not learned less.
+    """
     languages = sorted({language for language, _ in samples})
     net = new_network(languages, hidden, seed)
     if len(languages) < 2:
@@ -124,18 +128,17 @@ def train(samples: list[tuple[str, bytes]], hidden: int = HIDDEN, epochs: int =
         valid[k, : len(data)] = 1
     parts = net.parameters()
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-    steps = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(samples))
-        for start in range(0, len(order), BATCH):
-            pick = order[start : start + BATCH]
-            _, slopes = loss_and_gradients(net, windows[pick], valid[pick], labels[pick])
-            steps += 1
-            rate = RATE * (1 - 0.9 * epoch / epochs)
-            for p, g, m, v in zip(parts, slopes, first, second, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= (rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)).astype(np.float32)
+    queue = np.empty(0, np.int64)
+    for step in range(1, steps + 1):
+        if len(queue) < min(BATCH, len(samples)):
+            queue = np.append(queue, rng.permutation(len(samples)))
+        pick, queue = queue[:BATCH], queue[BATCH:]
+        _, slopes = loss_and_gradients(net, windows[pick], valid[pick], labels[pick])
+        rate = RATE * (1 - 0.9 * step / steps)
+        for p, g, m, v in zip(parts, slopes, first, second, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
@@ -269,6 +272,6 @@ def fit_languages(docs: DataFrame) -> Network:
     return train(training_samples(docs))
 
 
-def accepted(score: Column, lang_pred: Column, least: float = 0.4) -> Column:
+def accepted(score: Column, lang_pred: Column, least: float = 0.3) -> Column:
     """Documents of a determined language whose mean probability is not below ``least``."""
     return (lang_pred != UNDETERMINED) & (score >= least)
