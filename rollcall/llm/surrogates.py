@@ -40,7 +40,7 @@ _ANY_TITLE = "|".join(t for group in TITLES.values() for t in group)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What counts as an entity, in the order in which alternatives are tried.
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9][\w.%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}][\p{L}\p{N}_.%+-]*+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
     "secret": r"(?<!\w)(?i:token|secret|password|passwd|api[_-]?key)\s?[=:]\s?[\"']?[A-Za-z0-9_+/-]{12,}",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
@@ -93,7 +93,7 @@ def canonical(kind: Column, m: Column) -> Column:
 
 
 def _redrawn(value: Column, digest: Column, first: int = 0) -> Column:
-    """``value`` with its digits and Latin letters from place ``first`` on drawn from the digest, kind by kind."""
+    """``value`` with its digits and letters from place ``first`` on drawn from the digest, kind by kind."""
     numbers = F.translate(digest, "abcdef", "147036")
     letters = F.translate(digest, "0123456789abcdef", "bdfghklmnprstvza")
 
@@ -101,7 +101,7 @@ def _redrawn(value: Column, digest: Column, first: int = 0) -> Column:
         k = F.pmod(i * 5 + F.floor(i / 64), F.lit(64)).cast("int") + 1
         return (
             F.when(i < first, c).when(c.rlike("[0-9]"), F.substring(numbers, k, F.lit(1)))
-            .when(c.rlike("[a-z]"), F.substring(letters, k, F.lit(1))).when(c.rlike("[A-Z]"), F.upper(F.substring(letters, k, F.lit(1)))).otherwise(c)
+            .when(c.rlike(r"\p{Ll}"), F.substring(letters, k, F.lit(1))).when(c.rlike(r"\p{Lu}"), F.upper(F.substring(letters, k, F.lit(1)))).otherwise(c)
         )
 
     return F.array_join(F.transform(F.split(value, "(?!^)(?!$)", -1), draw), "")
