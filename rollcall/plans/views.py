@@ -29,7 +29,7 @@ SELECT c_custkey AS row_ord, concat('E', CAST(c_custkey AS STRING)) AS entry_id,
   {_pick("||bookseller|printer and bookseller|||attorney at law|attorney|", "c_custkey * 5")} AS parsed_occupation,
   {_pick("|||Trinity Coll|Trinity College|T. C. D|T.C.D|||", "c_custkey * 3")} AS parsed_affiliation,
   {_pick("|Leeds||Hull|New-York|Newyork||London", "c_custkey * 17")} AS parsed_location,
-  {_pick("Narrative|Letters|Thoughts and Sentiments", "c_custkey")} AS book,
+  {_pick("Chronicle|Letters|Voyages and Reflections", "c_custkey")} AS book,
   CAST(CAST(floor(c_custkey / 3) AS BIGINT) % 5 + 1 AS STRING) AS edition,
   CAST(1780 + CAST(floor(c_custkey / 3) AS BIGINT) % 5 AS STRING) AS year
 FROM customer
@@ -43,8 +43,8 @@ SELECT n.*, 'Author, An' AS author, concat('P', entry_id) AS person_id, 'persona
     {_pick("|, Esquire|, Esq. Leeds|; printer| of Hull| of the Royal Navy|, M. D.|, New Town", "row_ord * 5")},
     {_pick("|, 2 copies|, 12 cop.| ditto|, do.|, 3 books| 2d regiment|[?]|:|.", "row_ord * 7")}) AS listed_as,
   CASE WHEN row_ord % 5 = 0 THEN '' WHEN row_ord % 97 = 0 THEN 'x' ELSE CAST(row_ord % 400 AS STRING) END AS no,
-  CASE WHEN row_ord % 41 = 0 THEN ' ' ELSE {_pick("The Narrative|A Letter|Thoughts and Sentiments", "row_ord")} END AS full_book,
-  {_pick("Cugoano, Ottobah|Olaudah Equiano|Ignatius Sancho|", "row_ord * 3")} AS full_author
+  CASE WHEN row_ord % 41 = 0 THEN ' ' ELSE {_pick("The Chronicle|A Letter|Voyages and Reflections", "row_ord")} END AS full_book,
+  {_pick("Marlow, Edith|Peter Hollis|Anne Vale|", "row_ord * 3")} AS full_author
 FROM ({_BASE}) n
 """
 
