@@ -207,3 +207,8 @@ def normalize_name(c: Column, spelling: Mapping[str, str] | None = None) -> Colu
     ):
         c = step(c)
     return c
+
+
+def changed(before: Column, after: Column) -> Column:
+    """How many values a step has changed, as an aggregate."""
+    return F.count_if(~before.eqNullSafe(after))

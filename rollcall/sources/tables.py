@@ -110,3 +110,25 @@ def with_group_order(candidates: DataFrame, group: str = "group_id", order: str
 
 def year_of(c: Column) -> Column:
     return F.expr(f"try_cast(trim(`{c}`) as int)") if isinstance(c, str) else c.try_cast("int")
+
+
+def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Works, persons and edges of a bipartite GraphML file; nodes with ``bipartite`` 0 are works."""
+    xml = spark.read.format("xml").option("valueTag", "_value")
+    keys = xml.option("rowTag", "key").schema("_id string, `_attr.name` string").load(path)
+    names = F.create_map(*[F.lit(x) for r in keys.collect() for x in (r["_id"], r["_attr.name"])])  # a handful, from the file's head
+    nodes = xml.option("rowTag", "node").schema("_id string, data array<struct<_key:string,_value:string>>").load(path)
+    told = F.map_from_entries(F.transform("data", lambda d: F.struct(F.element_at(names, d["_key"]), d["_value"])))
+    at = nodes.select(F.col("_id").alias("id"), told.alias("m"))
+    side = F.try_element_at("m", F.lit("bipartite")).try_cast("int")
+
+    def field(name: str, kind: str = "string") -> Column:
+        return F.try_element_at("m", F.lit(name)).try_cast(kind).alias(name)
+
+    works = at.where(side == 0).select("id", field("book"), field("author"), field("first_year", "int"), field("last_year", "int"), field("label"))
+    persons = at.where(side == 1).select(F.col("id").alias("person_id"), field("normalized_name"), field("label"))
+    edges = xml.option("rowTag", "edge").schema("_source string, _target string").load(path)
+    ends = edges.select(F.col("_source").alias("person_id"), F.col("_target").alias("book"))
+    ends = ends.union(edges.select(F.col("_target").alias("person_id"), F.col("_source").alias("book")))
+    ends = ends.join(works.select(F.col("id").alias("book")), "book", "left_semi").select("person_id", "book")
+    return works.drop("id"), persons, ends

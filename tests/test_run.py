@@ -7,11 +7,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.functions.text import normalize_name
+from rollcall.functions.text import changed, normalize_name
 from rollcall.operators.parse import parse_names
 from rollcall.plans.run import Config, run_all
 from rollcall.sources import sinks
-from rollcall.sources.tables import MissingColumns, assert_columns, read_csv, read_optional, read_pairs, read_words, scan_lists
+from rollcall.sources.tables import MissingColumns, assert_columns, read_csv, read_graphml, read_optional, read_pairs, read_words, scan_lists
 
 LISTS = {
     "a.csv": [("1", "Mr. John Birch, Leeds", "The Chronicle", "Marlow, O.", "1", "1789"), ("", "Lord and Lady Ashford", "The Chronicle", "Marlow, O.", "1", "1789"), ("", "Duke of Hull", "The Chronicle", "Marlow, O.", "1", "1789")],
@@ -51,6 +51,12 @@ def test_run(spark, folder, tmp_path):
     assert out["overlap"].first().shared == 1
     lines = "".join(sinks.graphml(out["works"], out["persons"], out["edges"]))
     assert lines.count("<node") == out["works"].count() + out["persons"].count() and lines.count("<edge") == out["edges"].count()
+    graphml = tmp_path / "graph.xml"
+    graphml.write_text(lines)
+    works, persons, edges = read_graphml(spark, str(graphml))
+    for read, made in ((works, out["works"]), (persons, out["persons"]), (edges, out["edges"])):
+        assert sorted(map(tuple, read.collect())) == sorted(map(tuple, made.select(*read.columns).collect()))
+    assert out["parsed"].select(changed(F.col("normalization input"), F.col("normalized_name"))).first()[0] == 2
     path = str(tmp_path / "out.csv")
     sinks.write_csv(out["shared"], path, ["person_id", "normalized_name", "num_works", "works"], single=True)
     sinks.replace_csv(read_csv(spark, path), path)
