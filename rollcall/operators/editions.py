@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.functions.compat import pair_scores
+from rollcall.functions.compat import last_name_score, pair_scores
 
 SUMMARY = ["parsed_title", "parsed_first", "parsed_last", "parsed_postnominals", "parsed_location"]
 
@@ -35,17 +35,31 @@ def persons(rows: DataFrame) -> DataFrame:
     ).select("person_id", "first_ed", "last_ed", F.array_join(F.col("editions").cast("array<string>"), ",").alias("editions"), "s.*", "label", F.array_join("entries", "|").alias("entry_ids"))
 
 
+def _like_last_names(dep: DataFrame, arr: DataFrame) -> DataFrame:
+    """Rows (dep_last_ed, __dl, arr_first_ed, __al): pairs of last names that score, once for each two editions."""
+    size = F.length("__dl")
+    sizes = F.sequence(F.ceil(size * 0.55 - 1e-6).cast("int"), F.floor(size / 0.55 + 1e-6).cast("int"))
+    left = dep.where("__dl <> ''").select("dep_last_ed", "__dl").distinct()
+    left = left.select("*", (F.col("dep_last_ed") + 1).alias("arr_first_ed"), F.explode(sizes).alias("__size"))
+    right = arr.where("__al <> ''").select("arr_first_ed", "__al", F.length("__al").alias("__size")).distinct()
+    return left.join(right, ["arr_first_ed", "__size"]).where(last_name_score(F.col("__dl"), F.col("__al")) > 0).drop("__size")
+
+
 def missed_matches(rows: DataFrame, min_score: float = 2.5) -> DataFrame:
     """Departures of an edition with like arrivals of the next, best first.
 
-    A join by edition; last names whose lengths alone keep them from being like
-    each other do not meet.
+    Distinct last names of two editions are compared first, those whose lengths
+    let them be like each other; persons are joined by edition and by pairs of
+    last names that score. Without a like last name the score is 0, so where
+    ``min_score`` lets such pairs through, all persons of two editions meet.
     """
     every = persons(rows)
-    dep = every.select(*[F.col(c).alias(f"dep_{c}") for c in every.columns])
-    arr = every.select(*[F.col(c).alias(f"arr_{c}") for c in every.columns])
-    short = F.least(F.length("dep_parsed_last"), F.length("arr_parsed_last")) / F.greatest(F.length("dep_parsed_last"), F.length("arr_parsed_last"), F.lit(1))
-    met = dep.join(arr, (F.col("dep_last_ed") + 1 == F.col("arr_first_ed")) & (short >= 0.55))
+    dep = every.select(*[F.col(c).alias(f"dep_{c}") for c in every.columns], F.lower("parsed_last").alias("__dl"))
+    arr = every.select(*[F.col(c).alias(f"arr_{c}") for c in every.columns], F.lower("parsed_last").alias("__al"))
+    if min_score > 0:
+        met = dep.join(_like_last_names(dep, arr), ["dep_last_ed", "__dl"]).join(arr, ["arr_first_ed", "__al"])
+    else:
+        met = dep.join(arr, F.col("dep_last_ed") + 1 == F.col("arr_first_ed"))
     parts = pair_scores(lambda n: F.col(f"dep_{n}"), lambda n: F.col(f"arr_{n}"))
     out = met.select(
         parts["score"].alias("score"), F.concat_ws("→", F.col("dep_last_ed").cast("string"), F.col("arr_first_ed").cast("string")).alias("edition_boundary"),

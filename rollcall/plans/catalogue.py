@@ -385,7 +385,7 @@ def arrivals_departures(spark, sf_dir):
 
 @query
 def missed_match_scores(spark, sf_dir):
-    at = names(spark, sf_dir).where("row_ord % 3 = 1").withColumn("person_id", F.concat_ws("-", "parsed_first", "parsed_last", "parsed_title", "book"))
+    at = names(spark, sf_dir).withColumn("person_id", F.concat_ws("-", "parsed_first", "parsed_last", "parsed_title", "book"))
     return editions.missed_matches(at, 2.5).select("dep_pid", "arr_pid", "score", "dep_last", "arr_last", "dep_editions", "arr_editions")
 
 
