@@ -3,7 +3,9 @@
 The page is cut into blocks at block-level tags. The first pass classifies each
 block by where it stands, its length, its share of link text and its density of
 stop words; the second lets short and undecided blocks take the label of their
-nearest decided neighbours.
+nearest decided neighbours. A marked main part (article, main) is one signal: it
+keeps its short blocks if it has most of the prose, and dense prose outside it
+is kept as well.
 """
 
 from __future__ import annotations
@@ -156,8 +158,8 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
     return [b for b in out if b.text], marked
 
 
-def _first_pass(b: Block, marked: bool) -> str:
-    if b.beside or (marked and not b.inside):
+def _first_pass(b: Block) -> str:
+    if b.beside:
         return "bad"
     solid = len(b.text.replace(" ", ""))
     if b.linked > LINKS * solid and not (b.heading and b.inside):
@@ -170,11 +172,15 @@ def _first_pass(b: Block, marked: bool) -> str:
         return "good" if len(b.text) >= LONG else "near"
     if density >= STOP_LOW:
         return "near"
-    return "short" if b.inside or not marked and len(b.text) < LONG else "bad"
+    return "short" if b.inside or len(b.text) < LONG else "bad"
 
 
-def _second_pass(labels: list[str], inside: list[bool]) -> list[bool]:
-    """Which blocks are kept: a short one in the marked main part, or one whose nearest decided neighbour is; ties are kept."""
+def _second_pass(labels: list[str], inside: list[bool], trusted: bool) -> list[bool]:
+    """Which blocks are kept: a good one, or a short one whose nearest decided neighbour is; ties are kept.
+
+    Where the marked main part is trusted, its short blocks are kept, and short
+    blocks outside need a good neighbour outside.
+    """
     decided = [k for k, x in enumerate(labels) if x != "short"]
     good = {k for k in decided if labels[k] in ("good", "near")}
     kept, after = [], 0
@@ -186,15 +192,30 @@ def _second_pass(labels: list[str], inside: list[bool]) -> list[bool]:
             continue
         near = decided[max(0, after - 1) : after + 1]
         least = min((abs(d - k) for d in near), default=0)
-        kept.append(inside[k] or not near or any(d in good for d in near if abs(d - k) == least))
+        like = [d for d in near if d in good and abs(d - k) == least]
+        if trusted:
+            kept.append(inside[k] or any(not inside[d] for d in like))
+        else:
+            kept.append(not near or bool(like))
     return kept
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page: its kept blocks, in page order, joined by one space."""
+    """The article of a page: its kept blocks, in page order, joined by one space.
+
+    A marked main part is trusted if it has at least as much prose as the rest
+    of the page; then only long dense blocks outside decide by themselves.
+    """
     found, marked = blocks(page)
-    labels = [_first_pass(b, marked) for b in found]
-    kept = _second_pass(labels, [b.inside and not b.beside for b in found])
+    labels = [_first_pass(b) for b in found]
+    inside = [b.inside and not b.beside for b in found]
+    prose = [0, 0]
+    for b, label, within in zip(found, labels, inside, strict=True):
+        prose[within] += len(b.text) * (label in ("good", "near"))
+    trusted = marked and prose[True] >= prose[False]
+    if trusted:
+        labels = ["short" if label == "near" and not within else label for label, within in zip(labels, inside, strict=True)]
+    kept = _second_pass(labels, inside, trusted)
     return " ".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
 
 

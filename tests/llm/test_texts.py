@@ -102,6 +102,17 @@ def test_main_text(page):
     assert main_text(page) == PAGES[page]
 
 
+def test_prose_beside_an_article_tag():
+    """A teaser in an article tag does not take the page's body away, nor does the body short blocks elsewhere."""
+    body = " ".join([*PROSE.split(), "Short.", *PROSE.split()])
+    card = "<article class='card'><h2>More</h2><p>Soon in town.</p></article>"
+    page = f"<p>Menu</p>{card}<div class='content'><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></div>"
+    assert body in main_text(page)
+    medium = PROSE[:110]
+    assert " ".join([medium.strip()] * 4) in main_text(f"{card}<div class='content'>{f'<p>{medium}</p>' * 4}</div>")
+    assert main_text(f"<p>You are here</p><article><p>{PROSE}</p><p>By me</p></article><p>Back to top</p>") == f"{' '.join(PROSE.split())} By me"
+
+
 def test_pages(spark):
     rows = [(k, "u", h, "own") for k, h in enumerate([*PAGES, None])]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).orderBy("page_id").collect()
