@@ -49,6 +49,8 @@ BESIDE = frozenset(
     sidebar side skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets complementary contentinfo
     alert search disqus alertbar""".split()
 )
+#: Parts of compound names, as in has-sidebar or menu-open, that tell of a state and not of what the element is.
+STATES = frozenset("has no not with without is by open opened closed active enabled disabled toggle toggled".split())
 MAIN_ROLES = frozenset(["main", "article"])
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^<>]*\Z", re.S)
@@ -66,6 +68,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     beside: bool = False
+    named: int = -1  # innermost element around it that is named like a part beside the article
     inside: bool = False
     heading: bool = False
     text: str = ""
@@ -75,18 +78,58 @@ class Block:
 def _names(attrs: str) -> set[str]:
     found: set[str] = set()
     for groups in _NAMED.findall(attrs):
-        value = " ".join(groups)
-        found.update(_PART.findall(_CAMEL.sub(" ", value).lower()))
+        for name in " ".join(groups).split():
+            parts = _PART.findall(_CAMEL.sub(" ", name).lower())
+            if not STATES.intersection(parts):
+                found.update(parts)
     return found
 
 
+def _settle(found: list[Block], around: list[int]) -> None:
+    """Decide which elements named like parts beside the article are; ``around`` has the element around each.
+
+    Where the main part is marked only within such elements, those with half of
+    its text or more are not beside it. Where no marked part outside them has a
+    long block's worth of prose, one with most of the page's prose is not either.
+    """
+    n = len(around)
+    prose, main, total, free, marked_free, within = [0] * n, [0] * n, 0, 0, False, 0
+    holds = [False] * n
+    for b in found:
+        if b.beside:
+            continue
+        size = len(b.text) * (len(b.text) >= SHORT and b.linked <= LINKS * len(b.text))
+        total += size
+        if b.named >= 0:
+            prose[b.named] += size
+            main[b.named] += len(b.text) * b.inside
+            holds[b.named] |= b.inside
+            within += len(b.text) * b.inside
+        elif b.inside:
+            free, marked_free = free + size, True
+    aside = [True] * n
+    for k in reversed(range(n)):
+        most = prose[k] >= LONG and 2 * prose[k] > total
+        aside[k] = not (2 * main[k] >= within if holds[k] and not marked_free else most and free < LONG)
+        outer = around[k]
+        if outer >= 0:
+            main[outer] += main[k]
+            holds[outer] |= holds[k]
+            prose[outer] += 0 if aside[k] else prose[k]
+    for k, outer in enumerate(around):
+        aside[k] |= outer >= 0 and aside[outer]
+    for b in found:
+        b.beside |= b.named >= 0 and aside[b.named]
+
+
 def blocks(page: str | None) -> tuple[list[Block], bool]:
     """The page's blocks in order, and whether the page marks its main part."""
     page = page or ""
     out, block = [], Block()
-    stack: list[tuple[str, bool, bool]] = []  # tag, starts something beside the article, starts the main part
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, starts something beside the article, starts the main part, named element around
+    around: list[int] = []  # of each named element: the one around it
     beside = inside = links = 0
-    marked = False
+    named = -1
     at = 0
 
     def add(piece: str) -> None:
@@ -99,11 +142,11 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
         nonlocal block
         if block.parts:
             out.append(block)
-        block = Block(beside=beside > 0, inside=inside > 0, heading=heading)
+        block = Block(beside=beside > 0, named=named, inside=inside > 0, heading=heading)
 
     def close(entry) -> None:
-        nonlocal beside, inside, links
-        tag, was_beside, was_main = entry
+        nonlocal beside, inside, links, named
+        tag, was_beside, was_main, named = entry
         beside -= was_beside
         inside -= was_main
         links -= tag == "a"
@@ -132,10 +175,12 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
                 continue
             names = _names(found["attrs"])
             main = tag in ("article", "main") or bool(names & MAIN_ROLES and "role" in found["attrs"].lower())
-            aside = tag in SKIPPED or (tag == "header" and not inside) or bool(names & BESIDE) and tag not in ("html", "body", "article", "main") or bool(_HIDDEN.search(found["attrs"]))
+            aside = tag in SKIPPED or (tag == "header" and not inside) or bool(_HIDDEN.search(found["attrs"]))
             main = main and not beside and not aside
-            marked |= main
-            stack.append((tag, aside, main))
+            stack.append((tag, aside, main, named))
+            if names & BESIDE and tag not in ("html", "body", "article", "main"):
+                around.append(named)
+                named = len(around) - 1
             beside += aside
             inside += main
             links += tag == "a"
@@ -155,7 +200,9 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
     cut()
     for b in out:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in out if b.text], marked
+    out = [b for b in out if b.text]
+    _settle(out, around)
+    return out, any(b.inside and not b.beside for b in out)
 
 
 def _first_pass(b: Block) -> str:

@@ -113,6 +113,17 @@ def test_prose_beside_an_article_tag():
     assert main_text(f"<p>You are here</p><article><p>{PROSE}</p><p>By me</p></article><p>Back to top</p>") == f"{' '.join(PROSE.split())} By me"
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "side-by-side", "menu-open", "content search", "widget"])
+def test_names_of_wrappers(name):
+    """A wrapper named like a part beside the article does not take the article away, and such parts are still dropped."""
+    text = " ".join(PROSE.split())
+    comments = f"<div id='comments'><article class='comment'><p>{PROSE}</p></article></div>"
+    card = "<div class='related-posts'><article><p>Soon in town.</p></article></div>"
+    assert main_text(f"<div class='{name}'><article><h1>Head</h1><p>{PROSE}</p><p>{PROSE}</p></article></div>{card}") == f"Head {text} {text}"
+    assert main_text(f"<div class='{name}'><p>{PROSE}</p><p>{PROSE}</p></div><div class='sidebar-left'>{PROSE}</div>") == f"{text} {text}"
+    assert main_text(f"<article><p>{PROSE}</p></article>{comments}{card}") == text
+
+
 def test_pages(spark):
     rows = [(k, "u", h, "own") for k, h in enumerate([*PAGES, None])]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).orderBy("page_id").collect()
