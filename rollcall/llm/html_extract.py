@@ -61,6 +61,8 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|di
 
 #: Block rules: characters of a short block and of one long enough to decide by stop words alone, and densities.
 SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 0.33, 0.15, 0.25
+#: Share of link text allowed in the main part, and of stop words in the prose of a page whose language has a list.
+LINKS_MAIN, LISTED = 0.75, 0.1
 
 
 @dataclass
@@ -205,21 +207,36 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
     return out, any(b.inside and not b.beside for b in out)
 
 
-def _first_pass(b: Block) -> str:
-    if b.beside:
-        return "bad"
-    solid = len(b.text.replace(" ", ""))
-    if b.linked > LINKS * solid and not (b.heading and b.inside):
-        return "bad" if b.linked > 0.9 * solid or len(b.text) >= SHORT else "short"
-    if "©" in b.text[:3] or len(b.text) < SHORT or b.heading:
-        return "bad" if b.text.startswith("©") else "short"
-    words = b.text.lower().split()
-    density = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-    if density >= STOP_HIGH:
-        return "good" if len(b.text) >= LONG else "near"
-    if density >= STOP_LOW:
-        return "near"
-    return "short" if b.inside or len(b.text) < LONG else "bad"
+def _stop_words(text: str) -> tuple[int, int]:
+    """How many words of a text are stop words, and how many words it has."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words), len(words)
+
+
+def _first_pass(found: list[Block]) -> list[str]:
+    """Labels; stop words count where the page's prose is in a language that has a list, else length decides alone."""
+    labels, counts = [], {}
+    for k, b in enumerate(found):
+        solid = len(b.text.replace(" ", ""))
+        if b.beside:
+            labels.append("bad")
+        elif b.linked > (LINKS_MAIN if b.inside else LINKS) * solid and not (b.heading and b.inside):
+            labels.append("bad" if b.linked > 0.9 * solid or len(b.text) >= SHORT else "short")
+        elif "©" in b.text[:3] or len(b.text) < SHORT or b.heading:
+            labels.append("bad" if b.text.startswith("©") else "short")
+        else:
+            labels.append("")
+            counts[k] = _stop_words(b.text)
+    listed = sum(stop for stop, _ in counts.values()) >= LISTED * sum(n for _, n in counts.values())
+    for k, (stop, n) in counts.items():
+        long = len(found[k].text) >= LONG
+        if not listed:
+            labels[k] = "good" if long else "near"
+        elif stop >= STOP_HIGH * n:
+            labels[k] = "good" if long else "near"
+        else:
+            labels[k] = "near" if stop >= STOP_LOW * n else "short"
+    return labels
 
 
 def _second_pass(labels: list[str], inside: list[bool], trusted: bool) -> list[bool]:
@@ -254,7 +271,7 @@ def main_text(page: str | None) -> str:
     of the page; then only long dense blocks outside decide by themselves.
     """
     found, marked = blocks(page)
-    labels = [_first_pass(b) for b in found]
+    labels = _first_pass(found)
     inside = [b.inside and not b.beside for b in found]
     prose = [0, 0]
     for b, label, within in zip(found, labels, inside, strict=True):

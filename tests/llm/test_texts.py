@@ -124,6 +124,23 @@ def test_names_of_wrappers(name):
     assert main_text(f"<article><p>{PROSE}</p></article>{comments}{card}") == text
 
 
+RUSSIAN = "Это было лучшее время для всех жителей города, и никто не знал, когда они снова увидят такие дни вместе с друзьями. " * 3
+CHINESE = "那是最好的日子我们在城里住了很久人们都说这样的时光不会再来所以大家都很珍惜每一天" * 6
+TABLE = " ".join(f"row{k} {k * 7}.5 kg" for k in range(40))
+
+
+def test_blocks_of_few_stop_words():
+    """Languages without a list, tables and paragraphs full of links stay in the article."""
+    links = "<ul><li><a href='#'>Один</a></li><li><a href='#'>Два</a></li></ul>"
+    for prose in (RUSSIAN, CHINESE):
+        text = " ".join(prose.split())
+        assert main_text(f"<div>{links}</div><div><p>{prose}</p><p>Да.</p><p>{prose}</p></div>") == f"{text} {'Да.'} {text}"
+    text = " ".join(PROSE.split())
+    assert main_text(f"<div><p>{PROSE}</p><pre>{TABLE}</pre><p>{PROSE}</p></div>") == f"{text} {TABLE} {text}"
+    cited = "It was <a href='#'>said by the first author of the long report</a> and <a href='#'>shown by the second one in his later book</a> that the town grew."
+    assert main_text(f"<article><p>{PROSE}</p><p>{cited}</p></article>") == f"{text} {' '.join(re.sub('<[^>]*>', '', cited).split())}"
+
+
 def test_pages(spark):
     rows = [(k, "u", h, "own") for k, h in enumerate([*PAGES, None])]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).orderBy("page_id").collect()
