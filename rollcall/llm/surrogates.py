@@ -4,12 +4,13 @@ Each entity found in a text is reduced to a canonical form; a keyed digest of
 type and canonical form makes the surrogate, so that one person's number is
 replaced alike wherever and however it is written. The surrogates of all
 distinct entities are then checked: where two would share one, or one equals an
-entity of the corpus, all but one are drawn again.
+entity of the corpus, all but one are drawn again, from the third draw on from
+longer forms; what still collides after all rounds gets a form with its rank.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm.common import let, saved
@@ -50,6 +51,8 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_ANY_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?",
 }
 _EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Attempts from here on are ranks, which are written out in the surrogate.
+RANKED = 1_000_000_000
 _SECRET_HEAD = r"^\w[\w-]*\s?[=:]\s?[\"']?"
 
 
@@ -82,7 +85,7 @@ def canonical(kind: Column, m: Column) -> Column:
     code = F.regexp_extract(m, r"^(\+\d{1,3})(?=[ .(-])", 1)
     phone = F.when(code != "", F.concat(code, F.lit(" "), F.regexp_replace(F.regexp_replace(m, r"^\+\d{1,3}(?=[ .(-])", ""), r"\D", ""))).otherwise(digits)
     return (
-        F.when(kind == "secret", F.lower(F.regexp_replace(m, _SECRET_HEAD, "")))
+        F.when(kind == "secret", F.regexp_replace(m, _SECRET_HEAD, ""))
         .when(kind == "email", F.lower(m))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
         .when(kind == "ip", m)
@@ -125,7 +128,14 @@ def _card(value: Column, digest: Column) -> Column:
     return F.when(_luhn_sum(value) % 10 == 0, fixed).otherwise(free)
 
 
-def _name(value: Column, digest: Column) -> Column:
+def _more_digits(digest: Column, attempt: Column, after: int) -> Column:
+    """Digits behind a number: one for each attempt behind ``after``, 12 at most, or the rank."""
+    drawn = F.substring(F.translate(digest, "abcdef", "147036"), F.lit(50), F.least(attempt - after, F.lit(12)))
+    return F.when(attempt >= RANKED, F.lpad((attempt - RANKED).cast("string"), 16, "0")).when(attempt > after, drawn).otherwise("")
+
+
+def _name(value: Column, digest: Column, attempt: Column) -> Column:
+    """A name of the same script and form; its surname has four syllables, one more for each attempt behind the first, 12 at most, or 16 that tell the rank."""
     gender, name = F.substring(value, 1, 1), F.substring(value, 3, 1000)
     script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     given = F.lit(None).cast("string")
@@ -135,50 +145,66 @@ def _name(value: Column, digest: Column) -> Column:
     surname = F.lit(None).cast("string")
     for s, parts in SYLLABLES.items():
         words = F.array(*map(F.lit, parts))
-        made = F.initcap(F.concat(*[F.element_at(words, _number(digest, k, 1) + 1) for k in (2, 3, 4, 5)]))
+        four = F.concat(*[F.element_at(words, _number(digest, k, 1) + 1) for k in (2, 3, 4, 5)])
+
+        def spelled(hexadecimal: Column, words: Column = words) -> Column:
+            return F.array_join(F.transform(F.split(hexadecimal, "(?!^)(?!$)", -1), lambda c: F.element_at(words, F.conv(c, 16, 10).cast("int") + 1)), "")
+
+        more = F.concat(four, spelled(F.substring(digest, F.lit(6), F.least(attempt - 1, F.lit(8)))))
+        made = F.initcap(F.when(attempt >= RANKED, spelled(F.lpad(F.hex(attempt - RANKED), 16, "0"))).when(attempt > 1, more).otherwise(four))
         surname = F.when(script == s, made).otherwise(surname)
     gap = F.regexp_extract(name, r"[ -]", 0)
     return F.when(gap == "", surname).otherwise(F.concat(given, gap, surname))
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """Surrogate of a canonical entity, in canonical form."""
+    """Surrogate of a canonical entity, in canonical form.
+
+    Of an attempt from ``RANKED`` on, surrogates of one kind differ if their
+    attempts do.
+    """
     digest = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, value, attempt.cast("string")).cast("binary"), 256)
 
     def made(d: Column) -> Column:
         long = F.concat(d, F.sha2(d.cast("binary"), 256))
         repeated = F.repeat(long, F.ceil(F.length(value) / 128).cast("int"))
         octets = [F.lit(1) + _number(d, 1) % 223, *[_number(d, k) % 256 for k in (5, 9, 13)]]
+        rank = attempt - RANKED
+        ranks = [F.lit(1) + rank % 223, *[F.floor(rank / n).cast("int") % 256 for n in (223, 223 * 256, 223 * 65536)]]
+        octets = [F.when(attempt >= RANKED, r).otherwise(o) for r, o in zip(ranks, octets, strict=True)]
+        suffix = F.when(attempt >= RANKED, F.lower(F.lpad(F.hex(rank), 16, "0"))).otherwise("")
+        drawn_hex = F.concat(F.substring(repeated, F.lit(1), F.length(value)), suffix)
         return (
-            F.when(kind == "email", F.concat(_redrawn(F.substring_index(value, "@", 1), d), F.lit("@"), F.substring(F.translate(F.reverse(d), "0123456789", "ghklmnprst"), 1, 8), F.lit(".example.org")))
-            .when((kind == "secret") & value.rlike("^[0-9a-f]+$"), F.substring(repeated, F.lit(1), F.length(value)))
+            F.when(kind == "email", F.concat(_redrawn(F.substring_index(value, "@", 1), d), suffix, F.lit("@"), F.substring(F.translate(F.reverse(d), "0123456789", "ghklmnprst"), 1, 8), F.lit(".example.org")))
+            .when((kind == "secret") & value.rlike("^[0-9a-fA-F]+$"), F.when((F.upper(value) == value) & (F.lower(value) != value), F.upper(drawn_hex)).otherwise(drawn_hex))
             .when(kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
-            .when(kind == "iban", _redrawn(value, d, 2))
-            .when((kind == "phone") & value.startswith("+"), F.concat(F.substring_index(value, " ", 1), F.lit(" "), _redrawn(F.substring_index(value, " ", -1), d)))
-            .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_redrawn(value, d), 2, 8)))
-            .when(kind == "card", _card(value, d))
-            .when(kind == "name", _name(value, d))
-            .otherwise(_redrawn(value, d))
+            .when(kind == "iban", F.concat(_redrawn(value, d, 2), _more_digits(d, attempt, 24)))
+            .when((kind == "phone") & value.startswith("+"), F.concat(F.substring_index(value, " ", 1), F.lit(" "), _redrawn(F.substring_index(value, " ", -1), d), _more_digits(d, attempt, 1)))
+            .when(kind == "phone", F.concat(_redrawn(value, d), _more_digits(d, attempt, 1)))
+            .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_redrawn(value, d), 2, 8), _more_digits(d, attempt, 24)))
+            .when(kind == "card", F.concat(_card(value, d), _more_digits(d, attempt, 24)))
+            .when(kind == "name", _name(value, d, attempt))
+            .otherwise(F.concat(_redrawn(value, d), suffix))
         )
 
     return let(digest, made)
 
 
 def rendered(kind: Column, m: Column, new: Column) -> Column:
-    """A canonical surrogate in the format in which the entity was written."""
+    """A canonical surrogate in the format in which the entity was written; digits that it has more come last."""
     digits = F.regexp_replace(new, r"\D", "")
     folded = F.aggregate(
         F.split(m, "(?!^)(?!$)", -1),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("used")),
         lambda acc, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(acc["out"], F.substring(digits, acc["used"] + 1, F.lit(1))).alias("out"), (acc["used"] + 1).alias("used")))
         .otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["used"].alias("used"))),
-        lambda acc: acc["out"],
+        lambda acc: F.concat(acc["out"], F.substring(digits, acc["used"] + 1, F.length(digits))),
     )
     upper = (F.upper(m) == m) & (F.lower(m) != m)
     head = F.regexp_extract(m, f"({_SECRET_HEAD})", 1)
     spaced = F.rtrim(F.regexp_replace(new, "(.{4})", "$1 "))
     return (
-        F.when(kind == "secret", F.concat(head, F.when(F.upper(m) == m, F.upper(new)).otherwise(new)))
+        F.when(kind == "secret", F.concat(head, new))
         .when(kind == "email", F.when(upper, F.upper(new)).otherwise(new))
         .when(kind == "iban", F.when(m.contains(" "), spaced).otherwise(new))
         .when(kind == "name", F.concat(F.regexp_extract(m, r"^(\p{L}+\.? )", 1), new))
@@ -188,9 +214,13 @@ def rendered(kind: Column, m: Column, new: Column) -> Column:
 
 
 def redraws(found: DataFrame, key: str, most_rounds: int = 50) -> DataFrame:
-    """Rows (kind, value, attempt) of the entities whose first surrogate is taken; ``found`` has (kind, value) once each."""
+    """Rows (kind, value, attempt) of the entities whose first surrogate is taken; ``found`` has (kind, value) once each.
+
+    After ``most_rounds`` draws an attempt is ``RANKED`` and a rank that no other has.
+    """
+    ranked = RANKED
     drawn = saved(found.withColumn("attempt", F.lit(0)).withColumn("new", surrogate(F.col("kind"), F.col("value"), F.lit(0), key)), "surrogates-drawn")
-    for _ in range(most_rounds):
+    for turn in range(2 * most_rounds):
         real = found.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
         least = drawn.groupBy("kind", "new").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count(F.lit(1)).alias("many"))
         taken = least.join(real, ["kind", "new"], "left").where("many > 1 or real")
@@ -200,9 +230,15 @@ def redraws(found: DataFrame, key: str, most_rounds: int = 50) -> DataFrame:
         again = drawn.join(taken, ["kind", "new"], "left")
         lost = F.col("many").isNotNull() & (F.col("real").isNotNull() | (F.col("first.value") != F.col("value")))
         attempt = F.col("attempt") + lost.cast("int")
-        new = F.when(lost, surrogate(F.col("kind"), F.col("value"), F.col("attempt") + 1, key)).otherwise(F.col("new"))
-        drawn = saved(again.select("kind", "value", attempt.alias("attempt"), new.alias("new")), "surrogates-drawn")
-    raise RuntimeError(f"surrogates still collide after {most_rounds} rounds")
+        again = again.select("kind", "value", attempt.alias("attempt"), "new", lost.alias("lost"))
+        if turn >= most_rounds:
+            some = again.where("lost").select("kind", "value", (F.row_number().over(Window.partitionBy("kind").orderBy("value")) + ranked).alias("rank"))
+            some = saved(some, "surrogates-ranked")
+            ranked += some.count()
+            again = again.join(some, ["kind", "value"], "left").withColumn("attempt", F.coalesce("rank", "attempt")).drop("rank")
+        new = F.when(F.col("lost"), surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)).otherwise(F.col("new"))
+        drawn = saved(again.select("kind", "value", "attempt", new.alias("new")), "surrogates-drawn")
+    raise RuntimeError(f"surrogates still collide after {most_rounds} rounds of ranks")
 
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:

@@ -273,3 +273,30 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     at = spark.createDataFrame([(r.kind, r.value, attempts.get((r.kind, r.value), 0)) for r in rows], "kind string, value string, attempt int")
     made = [(r.kind, r.new) for r in at.select("kind", few(F.col("kind"), F.col("value"), F.col("attempt"), "k").alias("new")).collect()]
     assert len(set(made)) == len(made) and ("email", "s3") not in made
+
+
+def test_more_entities_than_short_surrogates(spark):
+    """More names of one word and short phones than their shortest forms have values; ranks where no draw is left."""
+    from rollcall.llm import surrogates
+
+    found = spark.sql("select 'name' as kind, concat(element_at(array('m', 'f', 'n'), cast(id % 3 + 1 as int)), ':X', translate(cast(id as string), '0123456789', 'abcdefghij')) as value from range(70000)")
+    found = found.unionAll(spark.sql("select 'phone' as kind, concat('+49 ', lpad(cast(id as string), 4, '0')) as value from range(10000)"))
+
+    def made(rounds):
+        attempts = redraws(found, "k", rounds)
+        at = found.join(attempts, ["kind", "value"], "left").select("kind", "value", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+        return at.select("kind", "value", "attempt", surrogates.surrogate(F.col("kind"), F.col("value"), F.col("attempt"), "k").alias("new")).toPandas()
+
+    for rounds in (50, 2):
+        got = made(rounds)
+        phones = got[got.kind == "phone"]
+        assert not got[["kind", "new"]].duplicated().any() and not set(phones.new) & set(phones.value)
+        assert (got.attempt >= surrogates.RANKED).any() == (rounds == 2)
+    m = spark.createDataFrame([("+49 12-34", "+49 987654")], "m string, new string")
+    assert m.select(surrogates.rendered(F.lit("phone"), F.col("m"), F.col("new"))).first()[0] == "+49 98-7654"
+
+
+def test_secrets_keep_their_case(spark):
+    docs = spark.createDataFrame([(1, "token = abCdefghijklmn1 token = abcDefghijklmn1 TOKEN = abCdefghijklmn1 token=2ABC3FF2CA8F")], "doc_id long, text string")
+    a, b, c, d = re.findall(r"= ?(\w+)", replace_entities(docs, "key").first().text)
+    assert a == c != b and a.lower() != b.lower() and re.fullmatch("[0-9A-F]{12}", d)
