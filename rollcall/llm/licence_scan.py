@@ -3,7 +3,8 @@
 Files stream through the automaton of all templates; at each word it gives the
 longest run of words ending there that some template has (the matching
 statistics). Long maximal runs are chained in the order of their template into
-spans, and a template that is covered well enough gives its label.
+spans, and a template that is covered well enough, its version with it, gives
+its label. Of spans that lie over each other the best covered one counts.
 """
 
 from __future__ import annotations
@@ -42,7 +43,25 @@ TEMPLATES = [
      public license as published by the free software foundation either version 3 of the license or at your option any later
      version"""),
     ("gpl-2", "licensed under the gnu general public license version 2"),
+    ("gpl-2", """this program is free software you can redistribute it and or modify it under the terms of the gnu general
+     public license as published by the free software foundation either version 2 of the license or at your option any later
+     version"""),
+    ("gpl-2", """this program is free software you can redistribute it and or modify it under the terms of the gnu general
+     public license version 2 as published by the free software foundation"""),
+    ("lgpl-2", """this library is free software you can redistribute it and or modify it under the terms of the gnu library
+     general public license as published by the free software foundation either version 2 of the license or at your option any
+     later version"""),
+    ("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1"),
+    ("lgpl-2.1", """this library is free software you can redistribute it and or modify it under the terms of the gnu lesser
+     general public license as published by the free software foundation either version 2 1 of the license or at your option
+     any later version"""),
     ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
+    ("lgpl-3", """this program is free software you can redistribute it and or modify it under the terms of the gnu lesser
+     general public license as published by the free software foundation either version 3 of the license or at your option any
+     later version"""),
+    ("agpl-3", """this program is free software you can redistribute it and or modify it under the terms of the gnu affero
+     general public license as published by the free software foundation either version 3 of the license or at your option any
+     later version"""),
     ("agpl-3", "licensed under the gnu affero general public license version 3"),
     ("bsd", """redistribution and use in source and binary forms with or without modification are permitted provided that the
      following conditions are met"""),
@@ -130,6 +149,7 @@ class Scanner:
         self.vocabulary = {word: k for k, word in enumerate(dict.fromkeys(w.encode() for s in sequences for w in s))}
         self.labels = [*phrases.values(), *(label for label, _ in templates)]
         self.sizes, self.n_phrases = [len(s) for s in sequences], len(phrases)
+        self.versions = [{k for k, w in enumerate(s) if w.isdigit() and not (w == "0" and s[k - 1].isdigit())} for s in sequences]
         self.automaton = SuffixAutomaton()
         for k, words in enumerate(sequences):
             self.automaton.add(k, [self.vocabulary[w.encode()] for w in words])
@@ -171,30 +191,43 @@ class Scanner:
 
     def _chain(self, runs: list) -> list:
         """Covered spans of templates: runs (end, state, size) in text order, joined while their template goes on."""
-        open_: dict[int, list] = {}  # template: first word, last word, template end, covered words
+        open_: dict[int, list] = {}  # template: first word, last word, template end, covered words, versions not covered
         done = []
 
         def close(template: int) -> None:
-            first, last, _, covered = open_.pop(template)
+            first, last, _, covered, missing = open_.pop(template)
             share = covered / self.sizes[template]
-            if share >= COVER:
+            if share >= COVER and not missing:
                 done.append((self.labels[template], first, last, min(1.0, share)))
 
         for end, state, size in runs:
             for template, stop in self.automaton.ends[state].items():
                 if template < self.n_phrases:
                     continue
-                chain = open_.get(template)
+                chain, said = open_.get(template), range(stop - size, stop)
                 if chain and end - size - chain[1] <= MAX_GAP and stop - size >= chain[2] - 1 and end > chain[1]:
                     fresh = min(size, stop - chain[2])
-                    open_[template] = [chain[0], end - 1, stop, chain[3] + max(0, fresh)]
+                    open_[template] = [chain[0], end - 1, stop, chain[3] + max(0, fresh), chain[4].difference(said)]
                 else:
                     if chain:
                         close(template)
-                    open_[template] = [end - size, end - 1, stop, size]
+                    open_[template] = [end - size, end - 1, stop, size, self.versions[template].difference(said)]
         for template in list(open_):
             close(template)
-        return sorted(set(done), key=lambda s: (s[1], s[2], s[0]))
+        return sorted(_best(done), key=lambda s: (s[1], s[2], s[0]))
+
+
+def _best(spans: list) -> list:
+    """Spans (label, first, last, covered) without those that share most of their words, or of the other's, with a better one of another label."""
+    kept: list = []
+    for span in sorted(set(spans), key=lambda s: (-s[3], s[1] - s[2], s)):
+        rank, size = (span[3], span[2] - span[1]), span[2] - span[1] + 1
+        if not any(
+            k[0] != span[0] and (k[3], k[2] - k[1]) > rank and 2 * (min(k[2], span[2]) - max(k[1], span[1]) + 1) > min(size, k[2] - k[1] + 1)
+            for k in kept
+        ):
+            kept.append(span)
+    return kept
 
 
 _RESULT = pa.struct([

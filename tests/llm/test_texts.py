@@ -192,6 +192,21 @@ def test_licences(spark):
     assert [s[0] for s in Scanner().scan("foo " + text + " bar")[2]] == ["mit"]
 
 
+GNU = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU{} General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+
+
+def test_versions_decide_licences():
+    cases = {
+        GNU.format("", "2"): "gpl-2", GNU.format("", "3"): "gpl-3", GNU.format("", "1"): "", GNU.format(" Library", "2"): "lgpl-2",
+        GNU.format(" Lesser", "2.1"): "lgpl-2.1", GNU.format(" Lesser", "3"): "lgpl-3", GNU.format(" Affero", "3"): "agpl-3",
+        "Licensed under the GNU Lesser General Public License version 2.1": "lgpl-2.1",
+        "Licensed under the GNU Affero General Public License version 1": "",
+        "Licensed under the GNU General Public License version 3 and, elsewhere, licensed under the GNU General Public License version 2.": "gpl-2,gpl-3",
+    }
+    for text, labels in cases.items():
+        assert ",".join(sorted({s[0] for s in Scanner().scan(f"Intro. {text} End.")[2]})) == labels, text
+
+
 def png():
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
