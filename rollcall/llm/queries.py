@@ -59,7 +59,7 @@ def op6_sharding(spark, sf_dir):
 
 def op7_media_columns(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return media_digest(sniff_media(text_media(docs, unit=64), carve=False))
+    return media_digest(sniff_media(text_media(docs, unit=64), carve=True))
 
 
 def op8_jaccard_join(spark, sf_dir):

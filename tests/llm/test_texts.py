@@ -242,6 +242,16 @@ def test_text_round_trip(spark):
         assert media_sniff.wav_samples(media_sniff.wav(padded)) == padded and r.media_bytes == len(padded) + 44
 
 
+def test_query_carves_media(spark, tmp_path, monkeypatch):
+    from rollcall.llm import queries
+
+    text = "x %PDF-1.4\n1 0 obj\nendobj\n%%EOF"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "media_digest", lambda media: media)
+    rows = queries.op7_media_columns(spark, str(tmp_path)).collect()
+    assert [len(r.media) for r in sorted(rows)] == [2, 1] and all(bytes(m.bytes) == bytes(r.content[m.offset : m.offset + m.length]) for r in rows for m in r.media)
+
+
 PERSONAL = [
     "Write to ann.lee@mail3.example.com or ANN.LEE@MAIL3.EXAMPLE.COM, call +1 (017) 555-7713.",
     "Call +1 (017) 555 7713 or (017) 555-7714; token = \"2abc3ff2ca8fb1e4c565a0eb63815530a948bdde\".",
