@@ -5,38 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.sources.shared import saved
+from rollcall.operators.skew import spread_join
+from rollcall.sources.shared import discard, saved
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("rows"))
+    return spread_join(both.where("v > u"), least, ["u"], "v", "rows", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows"))
+    moved = spread_join(down, least, ["u"], "v", "rows", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Label each node of ``edges(u, v)`` with the least node reachable: ``(node, component)``.
 
     Nodes without an edge to another do not appear. The number of rounds grows
     with the logarithm of the largest component; each round's edges are written
-    to the shared folder.
+    to the shared folder, and those of the round before are deleted. A node with
+    many edges is spread over tasks.
     """
-    edges = saved(edges.where("u <> v").select("u", "v").distinct(), name)
-    before = None
-    for _ in range(most_rounds):
-        edges = saved(_small_star(_large_star(edges).where("u <> v").distinct()).where("u <> v").distinct(), name)
+    edges = saved(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), name)
+    before = (edges.count(), None)
+    while before[0]:
+        total = 2 * before[0]
+        after = saved(_small_star(_large_star(edges, total).distinct(), total).distinct(), name)
+        discard(edges)
+        edges = after
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

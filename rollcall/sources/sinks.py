@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
-from xml.sax.saxutils import escape, quoteattr
+from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.sources.tables import LEDGER, assert_columns
@@ -17,18 +17,41 @@ def write_csv(df: DataFrame, path: str, columns: Iterable[str] | None = None, si
     columns = list(columns or df.columns)
     out = assert_columns(df, columns, path).select(*[F.col(f"`{c}`") for c in columns])
     out = out.coalesce(1) if single else out
-    out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def _store(df: DataFrame, path: str):
+    """The file system of a path and the maker of its paths."""
+    path_of = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path_of(path).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()), path_of
 
 
 def replace_csv(df: DataFrame, path: str) -> None:
-    """Write beside the path and swap, so that ``df`` may be read from it."""
-    spark = df.sparkSession
-    beside = f"{path}.{uuid.uuid4().hex}"
+    """Write beside the path, put the old table aside, swap, and only then delete the old one.
+
+    ``df`` may be read from the path. At any moment one of the two is whole.
+    """
+    beside, aside = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     write_csv(df, beside)
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = jvm(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(jvm(path), True)
-    fs.rename(jvm(beside), jvm(path))
+    fs, path_of = _store(df, path)
+    if fs.exists(path_of(path)) and not fs.rename(path_of(path), path_of(aside)):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(path_of(beside), path_of(path)):
+        fs.rename(path_of(aside), path_of(path))
+        raise OSError(f"cannot move {beside} to {path}")
+    fs.delete(path_of(aside), True)
+
+
+def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
+    """The column ``line`` as one text file, in the order of other columns."""
+    beside = f"{path}.new-{uuid.uuid4().hex}"
+    lines.coalesce(1).sortWithinPartitions(*order).select("line").write.text(beside)
+    fs, path_of = _store(lines, path)
+    part = next(p for p in (s.getPath() for s in fs.listStatus(path_of(beside))) if p.getName().startswith("part-"))
+    fs.delete(path_of(path), True)
+    if not fs.rename(part, path_of(path)):
+        raise OSError(f"cannot move {part} to {path}")
+    fs.delete(path_of(beside), True)
 
 
 def write_ledger(ledger: DataFrame, path: str) -> None:
@@ -45,22 +68,35 @@ def write_candidates(diff: DataFrame, path: str, columns: Iterable[str]) -> bool
     return True
 
 
-def graphml(works: DataFrame, persons: DataFrame, edges: DataFrame) -> Iterable[str]:
-    """The bipartite graph as lines of GraphML, streamed a partition at a time."""
-    fields = ["bipartite", "book", "author", "first_year", "last_year", "label", "normalized_name"]
-    yield '<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n'
-    for k, name in enumerate(fields):
-        kind = "long" if name in ("bipartite", "first_year", "last_year") else "string"
-        yield f'<key id="d{k}" for="node" attr.name="{name}" attr.type="{kind}"/>\n'
-    yield '<graph edgedefault="undirected">\n'
-    for nodes, side, key in ((works, 0, "book"), (persons, 1, "person_id")):
-        for row in nodes.toLocalIterator():
-            values = row.asDict() | {"bipartite": side}
-            data = "".join(f'<data key="d{k}">{escape(str(values[f]))}</data>' for k, f in enumerate(fields) if values.get(f) is not None)
-            yield f"<node id={quoteattr(str(row[key]))}>{data}</node>\n"
-    for row in edges.toLocalIterator():
-        yield f"<edge source={quoteattr(str(row['person_id']))} target={quoteattr(str(row['book']))}/>\n"
-    yield "</graph>\n</graphml>\n"
+def _escaped(c: Column) -> Column:
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(mark), F.lit(name))
+    return c
+
+
+#: Fields of a node of the graph file, and which of them are numbers.
+NODE_FIELDS = ["bipartite", "book", "author", "first_year", "last_year", "label", "normalized_name"]
+NODE_NUMBERS = ["bipartite", "first_year", "last_year"]
+
+
+def graphml_lines(works: DataFrame, persons: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (part, line) of the bipartite graph in GraphML; parts are head, works, persons, edges and tail."""
+    spark = works.sparkSession
+    keys = [f'<key id="d{k}" for="node" attr.name="{f}" attr.type="{"long" if f in NODE_NUMBERS else "string"}"/>' for k, f in enumerate(NODE_FIELDS)]
+    head = ['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *keys, '<graph edgedefault="undirected">']
+    frame = spark.createDataFrame([(0, k, line) for k, line in enumerate(head)] + [(4, 0, "</graph>"), (4, 1, "</graphml>")], "part int, place int, line string")
+    for part, (nodes, side, key) in enumerate(((works, 0, "book"), (persons, 1, "person_id")), 1):
+        values = {f: F.col(f).cast("string") for f in NODE_FIELDS if f in nodes.columns} | {"bipartite": F.lit(str(side))}
+        data = [F.when(v.isNotNull(), F.concat(F.lit(f'<data key="d{NODE_FIELDS.index(f)}">'), _escaped(v), F.lit("</data>"))) for f, v in values.items()]
+        line = F.concat(F.lit('<node id="'), _escaped(F.col(key)), F.lit('">'), F.concat_ws("", *data), F.lit("</node>"))
+        frame = frame.union(nodes.select(F.lit(part), F.lit(0), line))
+    line = F.concat(F.lit('<edge source="'), _escaped(F.col("person_id")), F.lit('" target="'), _escaped(F.col("book")), F.lit('"/>'))
+    return frame.union(edges.select(F.lit(3), F.lit(0), line))
+
+
+def write_graphml(works: DataFrame, persons: DataFrame, edges: DataFrame, path: str) -> None:
+    """The bipartite graph as one GraphML file."""
+    write_lines(graphml_lines(works, persons, edges), path, ["part", "place"])
 
 
 def ring_svg(ring: DataFrame, chords: DataFrame, size: int = 1000) -> str:
