@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.operators.components import connected_components
 from rollcall.sources.shared import saved
 from rollcall.sources.tables import LEDGER
 
@@ -63,52 +63,54 @@ def harvest(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     return done.select("entry_a", "entry_b", "x.verdict", *[f"x.{c}" for c in LEDGER[3:7]], "x.note")
 
 
-def _decide(ids: list[str], verdicts: dict[tuple[str, str], str]) -> dict[str, str] | None:
-    """P5: y, n or x for each entry of a group, or None where the ledger does not tell."""
-    if len(ids) < 2:
-        return None
-
-    def verdict(a: str, b: str) -> str | None:
-        return verdicts.get((min(a, b), max(a, b)))
-
-    inside, todo = {ids[0]}, [ids[0]]
-    while todo:
-        here = todo.pop()
-        more = [x for x in ids if x not in inside and verdict(here, x) == "y"]
-        inside.update(more)
-        todo += more
-    members = sorted(inside)
-    if any(verdict(a, b) == "n" for k, a in enumerate(members) for b in members[k + 1 :]):
-        return None
-    outside = [x for x in ids if x not in inside]
-    if len(inside) == 1:
-        refused = all(verdict(a, b) == "n" for k, a in enumerate(ids) for b in ids[k + 1 :])
-        return dict.fromkeys(ids, "n") if refused else None
-    if all(any(verdict(x, m) == "n" for m in members) for x in outside):
-        return dict.fromkeys(members, "y") | dict.fromkeys(outside, "x")
-    return None
+def _groups_in_question(candidates: DataFrame) -> DataFrame:
+    """Rows (node, group_id, entry_id, lead, rows, entries): each entry of a group once, with the group's first entry and sizes."""
+    slim = candidates.select("group_id", "row_ord", "entry_id")
+    heads = slim.groupBy("group_id").agg(F.min_by("entry_id", "row_ord").alias("lead"), F.count(F.lit(1)).alias("rows"), F.count_distinct("entry_id").alias("entries"))
+    each = slim.select("group_id", "entry_id").distinct().join(heads, "group_id")
+    return each.withColumn("node", F.struct("group_id", "entry_id"))
+
+
+def _verdicts(entries: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Rows (group_id, entry_a, entry_b, verdict): what the ledger says of two entries of one group."""
+    one = entries.select("group_id", F.col("entry_id").alias("entry_a"))
+    other = entries.select("group_id", F.col("entry_id").alias("entry_b"))
+    said = ledger.select("entry_a", "entry_b", "verdict")
+    return one.join(said, "entry_a").join(other, ["group_id", "entry_b"])
 
 
 def apply_ledger(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     """``candidates`` with ``match`` filled in for the groups that the ledger decides.
 
-    Each group of candidates, with the ledger's verdicts on its pairs only, is
-    decided on its own.
+    The part of a group that pairs of verdict y tie to its first entry is
+    accepted, and all others are marked x, if no two of the part are told apart
+    by an n and each other entry is told apart from one of the part. Where
+    nothing is tied to the first entry, the group is rejected if every pair of
+    it is an n. All other groups stay as they are.
     """
-    slim = candidates.select("group_id", "row_ord", "entry_id")
-    a, b = slim.alias("a"), slim.alias("b")
-    pairs = a.join(b, (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.entry_id") < F.col("b.entry_id")))
-    pairs = pairs.select("a.group_id", F.col("a.entry_id").alias("entry_a"), F.col("b.entry_id").alias("entry_b"))
-    known = saved(pairs.join(ledger.select("entry_a", "entry_b", "verdict"), ["entry_a", "entry_b"]), "ledger-known")
-
-    def run(key, rows: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        ids = rows.sort_values("row_ord").entry_id.tolist()
-        verdicts = {(x, y): v for x, y, v in zip(said.entry_a, said.entry_b, said.verdict, strict=True)}
-        found = _decide(ids, verdicts) or {}
-        return pd.DataFrame({"group_id": [key[0]] * len(found), "entry_id": list(found), "decided": list(found.values())}, dtype="object")
-
-    decided = slim.groupBy("group_id").cogroup(known.groupBy("group_id")).applyInPandas(run, "group_id string, entry_id string, decided string")
-    out = candidates.join(decided, ["group_id", "entry_id"], "left")
+    entries = saved(_groups_in_question(candidates), "ledger-entries")
+    known = saved(_verdicts(entries, ledger), "ledger-known")
+    ends = {side: F.struct("group_id", F.col(f"entry_{side}").alias("entry_id")) for side in "ab"}
+    tied = connected_components(known.where("verdict = 'y'").select(ends["a"].alias("u"), ends["b"].alias("v")), "ledger-tied")
+    part = F.coalesce("component", "node")
+    parts = entries.join(tied, "node", "left").select("node", "group_id", "entry_id", "lead", part.alias("part"))
+    leads = parts.where(F.col("entry_id") == F.col("lead")).select("group_id", F.col("part").alias("lead_part"))
+    placed = parts.join(leads, "group_id").select("group_id", "entry_id", (F.col("part") == F.col("lead_part")).alias("tied"))
+    placed = saved(placed, "ledger-placed")
+
+    apart = known.where("verdict = 'n'")
+    for side in "ab":
+        apart = apart.join(placed.select("group_id", F.col("entry_id").alias(f"entry_{side}"), F.col("tied").alias(f"tied_{side}")), ["group_id", f"entry_{side}"])
+    outsider = F.when(F.col("tied_a") != F.col("tied_b"), F.when(F.col("tied_a"), F.col("entry_b")).otherwise(F.col("entry_a")))
+    split = apart.groupBy("group_id").agg(F.count(F.lit(1)).alias("apart"), F.bool_or(F.col("tied_a") & F.col("tied_b")).alias("torn"), F.count_distinct(outsider).alias("refused"))
+    sizes = placed.groupBy("group_id").agg(F.count_if("tied").alias("inside"), F.count(F.lit(1)).alias("all"))
+    told = sizes.join(entries.select("group_id", "rows", "entries").distinct(), "group_id").join(split, "group_id", "left").na.fill(0, ["apart", "refused"]).na.fill(False, ["torn"])
+    n = F.col("entries")
+    rejected = (F.col("inside") == 1) & (n >= 2) & (F.col("rows") == n) & (2 * F.col("apart") == n * (n - 1))
+    accepted = (F.col("inside") > 1) & ~F.col("torn") & (F.col("refused") == F.col("all") - F.col("inside"))
+    decided = told.where(rejected | accepted).select("group_id", rejected.alias("rejected")).join(placed, "group_id")
+    verdict = F.when(F.col("rejected"), "n").when(F.col("tied"), "y").otherwise("x")
+    out = candidates.join(decided.select("group_id", "entry_id", verdict.alias("decided")), ["group_id", "entry_id"], "left")
     return out.withColumn("match", F.coalesce("decided", "match")).select(*candidates.columns)
 
 
