@@ -11,6 +11,8 @@ from rollcall.operators.fuzzy import fuzzy_self_join
 from rollcall.plans import views
 from rollcall.plans.sql import SQL
 from rollcall.sources.shared import saved
+from rollcall.sources.sinks import counters
+from rollcall.sources.tables import filter_author, with_group_order
 
 #: Small lexicons for the queries.
 SPELLING = {"Wundham": "Wyndham", "Wyndham": "Windham", "New Town": "Newtown"}
@@ -139,6 +141,31 @@ def norm_trailing(spark, sf_dir):
     return _text(spark, sf_dir, text.clean_periods(text.strip_trailing(c("listed_as"))))
 
 
+@query
+def norm_spacing(spark, sf_dir):
+    return _text(spark, sf_dir, text.repair_spacing(c("listed_as")))
+
+
+@query
+def norm_squeeze(spark, sf_dir):
+    return _text(spark, sf_dir, text.squeeze(F.concat(F.lit("  "), F.translate("listed_as", ",", "\t"))))
+
+
+@query
+def norm_the(spark, sf_dir):
+    return _text(spark, sf_dir, text.strip_leading_the(c("listed_as")))
+
+
+@query
+def norm_geographic_of(spark, sf_dir):
+    return _text(spark, sf_dir, text.strip_geographic_of(F.concat(c("listed_as"), F.lit(" of Kent and Duke of York"))))
+
+
+@query
+def norm_changed(spark, sf_dir):
+    return names(spark, sf_dir).agg(*[text.changed(c("listed_as"), step(c("listed_as"))).alias(n) for n, step in (("punct", text.strip_punctuation), ("ditto", text.strip_ditto), ("dashes", text.normalize_dashes))])
+
+
 @query
 def norm_peerage_of(spark, sf_dir):
     return _text(spark, sf_dir, text.insert_peerage_of(c("listed_as")))
@@ -169,6 +196,43 @@ def order_detect(spark, sf_dir):
     return order.detect_orders(names(spark, sf_dir), GIVEN)
 
 
+@query
+def order_overrides(spark, sf_dir):
+    rows = names(spark, sf_dir)
+    keys = rows.select(order.list_key().alias("list_key"), "edition").distinct()
+    said = keys.select(F.concat(F.lit(" "), c("list_key")).alias("list_key"), F.when(c("edition") == "1", " Last-First").when(c("edition") == "2", "first-last").otherwise("sideways").alias("order"))
+    return order.detect_orders(rows, GIVEN, said).select("list_key", "order", "confidence", "source")
+
+
+@query
+def order_joined(spark, sf_dir):
+    rows = names(spark, sf_dir)
+    return order.with_order(rows, order.detect_orders(rows, GIVEN)).select("row_ord", "name_order")
+
+
+@query
+def trailing_postnominals(spark, sf_dir):
+    at = names(spark, sf_dir).select("row_ord", F.trim(F.concat_ws(" ", "parsed_last", "parsed_postnominals", F.when(c("row_ord") % 3 == 0, "Jun."))).alias("name"))
+    return at.select("row_ord", parse.trailing_postnominals(c("name")).alias("x")).select("row_ord", "x.post", "x.rest")
+
+
+@query
+def postnominals_anywhere(spark, sf_dir):
+    at = names(spark, sf_dir).select("row_ord", F.trim(F.concat_ws(" ", "parsed_postnominals", "parsed_last", F.when(c("row_ord") % 3 == 0, "bart. M. P. x"))).alias("name"))
+    return at.select("row_ord", parse.postnominals_anywhere(c("name")).alias("x")).select("row_ord", "x.post", "x.rest")
+
+
+@query
+def location_removed(spark, sf_dir):
+    at = names(spark, sf_dir).select("row_ord", "parsed_location", F.trim(F.concat_ws(" ", "parsed_first", "parsed_last", F.when(c("row_ord") % 2 == 0, c("parsed_location")))).alias("name"))
+    return at.select("row_ord", parse.without_location(c("name"), c("parsed_location")).alias("name"))
+
+
+@query
+def words_corrected(spark, sf_dir):
+    return _text(spark, sf_dir, parse.correct_words(c("listed_as"), {"birch": "Beech", "Green": "Greene"}))
+
+
 @query
 def leading_titles(spark, sf_dir):
     return names(spark, sf_dir).select("row_ord", parse.leading_titles(c("normalized_name")).alias("x")).select("row_ord", "x.title", "x.rest")
@@ -255,6 +319,31 @@ def compat_affiliation(spark, sf_dir):
     return _compat(spark, sf_dir, compat.affiliations(c("a_parsed_affiliation"), c("b_parsed_affiliation")))
 
 
+@query
+def surname_prefixes(spark, sf_dir):
+    return names(spark, sf_dir).select("row_ord", compat.strip_surname_prefix(F.lower("parsed_last")).alias("bare"))
+
+
+@query
+def initials_only(spark, sf_dir):
+    first = c("parsed_first")
+    return names(spark, sf_dir).select("row_ord", compat.is_bare_initial(first).alias("one"), compat.is_multi_initial(F.trim(first), 2).alias("two"), compat.is_multi_initial(F.trim(first), 3).alias("three"))
+
+
+@query
+def signatures(spark, sf_dir):
+    return names(spark, sf_dir).select("row_ord", compat.signature(c).alias("s")).select("row_ord", "s.title", "s.first", "s.last", "s.post")
+
+
+@query
+def match_pairs_cross(spark, sf_dir):
+    at = names(spark, sf_dir).where("parsed_last <> ''").withColumn("start", F.substring("parsed_last", 1, 2))
+    a, b = (at.select(*[c(x).alias(f"{side}_{x}") for x in at.columns]) for side in "ab")
+    near = a.join(b, (c("a_start") == c("b_start")) & (c("a_row_ord") < c("b_row_ord")))
+    rule = compat.entries_match(_side("a"), _side("b"), "cross_book")
+    return near.select(c("a_row_ord").alias("a"), c("b_row_ord").alias("b"), rule.alias("verdict")).where("verdict is not null")
+
+
 @query
 def allowed_distance(spark, sf_dir):
     return _compat(spark, sf_dir, compat.allowed_distance(c("a_parsed_last"), compat.first_names(c("a_parsed_first"), c("b_parsed_first"))))
@@ -372,6 +461,49 @@ def identity_collapse(spark, sf_dir):
     return identity.person_ids(views.view(spark, sf_dir, views.MATCHES))
 
 
+@query
+def identity_apply(spark, sf_dir):
+    rows = names(spark, sf_dir).select("row_ord", "entry_id", "person_id")
+    return identity.collapse(rows, views.view(spark, sf_dir, views.MATCHES)).select("row_ord", "person_id")
+
+
+@query
+def identity_conflicts(spark, sf_dir):
+    return identity.person_ids(views.view(spark, sf_dir, views.MATCHES)).where("groups > 1").select("entry_id", "groups")
+
+
+@query
+def group_order(spark, sf_dir):
+    return with_group_order(views.view(spark, sf_dir, views.MATCHES)).select("row_ord", "group_id", "group_ord")
+
+
+@query
+def author_filter(spark, sf_dir):
+    return filter_author(names(spark, sf_dir).withColumn("author", F.concat(F.lit(" "), c("full_author"), F.lit(" "))), "Peter Hollis").select("row_ord")
+
+
+@query
+def review_view(spark, sf_dir):
+    return ledger.display_groups(views.view(spark, sf_dir, views.REVIEWED).withColumn("at", c("row_ord").cast("string")), width=7).select("group_id", c("at").alias("place"), "normalized_name", "book")
+
+
+@query
+def run_counters(spark, sf_dir):
+    return counters(names(spark, sf_dir), titled="parsed_title <> ''", placed="parsed_location <> ''", numbered="trim(no) rlike '^[0-9]+$'")
+
+
+@query
+def person_labels(spark, sf_dir):
+    return names(spark, sf_dir).select("row_ord", editions.label(c).alias("label"))
+
+
+@query
+def edition_report(spark, sf_dir):
+    at = names(spark, sf_dir).withColumn("person_id", F.concat_ws("-", "parsed_first", "parsed_last", "parsed_title", "book"))
+    found = editions.missed_matches(at, 2.5).orderBy(F.desc("score"), "dep_pid", "arr_pid").limit(50)  # a report of the best 50
+    return found.select("dep_pid", "arr_pid", "score", "edition_boundary")
+
+
 @query
 def edition_overview(spark, sf_dir):
     return editions.edition_overview(subscriptions(spark, sf_dir)).select(*[c(x).cast("long").alias(x) for x in ("edition", "total", "new", "continued", "departed")])
@@ -477,6 +609,25 @@ def book_abbr(spark, sf_dir):
     return _books(spark, sf_dir).select("id", present.book_abbr(c("book")).alias("abbr"))
 
 
+@query
+def community_colors(spark, sf_dir):
+    at = _books(spark, sf_dir).select("id", (c("id") % 13 - 1).cast("int").alias("community"))
+    at = at.select("id", present.community_color(c("community")).alias("color"))
+    return at.select("id", "color", present.dark_fill(c("color")).alias("x")).select("id", "color", "x.r", "x.g", "x.b")
+
+
+@query
+def highlights(spark, sf_dir):
+    return _books(spark, sf_dir).select("id", present.is_highlighted(" Steel ", c("author"), c("book")).alias("hit"), present.is_highlighted(" ", c("author"), c("book")).alias("none"))
+
+
+@query
+def chord_curves(spark, sf_dir):
+    at = _books(spark, sf_dir).select("id", *[(F.cos if k < 2 else F.sin)(c("id") * (1 + k % 2)).alias(n) for k, n in enumerate(("ax", "bx", "ay", "by"))])
+    at = at.select("id", F.posexplode(present.chord_curve(c("ax"), c("ay"), c("bx"), c("by"), samples=5)).alias("k", "p"))
+    return at.select("id", c("k").cast("long").alias("k"), "p.x", "p.y")
+
+
 @query
 def chord_widths(spark, sf_dir):
     return present.chord_widths(graph.overlap(*_graph(spark, sf_dir)))
@@ -504,4 +655,7 @@ def value_range(spark, sf_dir):
     return present.value_range(graph.overlap(*_graph(spark, sf_dir)), "repr")
 
 
+from rollcall.plans import files  # noqa: E402  its queries read what it writes
+
+QUERIES |= files.QUERIES
 ORACLES = {name: SQL[name] for name in QUERIES if name in SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollcall.functions import text
+from rollcall.functions import present, text
 from rollcall.operators import ingest, order, parse
 from rollcall.plans import views
 
@@ -225,7 +225,7 @@ SQL = {
     "arrivals_departures": N + """ SELECT concat_ws('-', parsed_first, parsed_last, book) AS person_id, min(CAST(edition AS INT)) AS first_ed, max(CAST(edition AS INT)) AS last_ed, string_agg(DISTINCT edition, ',' ORDER BY edition) AS editions FROM n GROUP BY 1""",
     "missed_match_scores": N + """, p AS (SELECT concat_ws('-', parsed_first, parsed_last, parsed_title, book) AS pid, min(CAST(edition AS INT)) AS lo, max(CAST(edition AS INT)) AS hi, string_agg(DISTINCT edition, ',' ORDER BY edition) AS eds,
         arg_min({'t': trim(parsed_title), 'f': trim(parsed_first), 'l': trim(parsed_last), 'p': trim(parsed_postnominals), 'c': trim(parsed_location)}, row_ord - CAST(1000000000 AS BIGINT) * (CAST(trim(parsed_title) <> '' AS INT) + CAST(trim(parsed_first) <> '' AS INT)
-          + CAST(trim(parsed_last) <> '' AS INT) + CAST(trim(parsed_postnominals) <> '' AS INT) + CAST(trim(parsed_location) <> '' AS INT))) AS s FROM n WHERE row_ord % 3 = 1 GROUP BY 1),
+          + CAST(trim(parsed_last) <> '' AS INT) + CAST(trim(parsed_postnominals) <> '' AS INT) + CAST(trim(parsed_location) <> '' AS INT))) AS s FROM n GROUP BY 1),
       m AS (SELECT d.pid AS dep_pid, a.pid AS arr_pid, d.eds AS dep_editions, a.eds AS arr_editions, d.s AS ds, a.s AS zs, lower(d.s.l) AS dl, lower(a.s.l) AS al, lower(d.s.f) AS df, lower(a.s.f) AS af, lower(d.s.c) AS dc, lower(a.s.c) AS ac FROM p d JOIN p a ON d.hi + 1 = a.lo WHERE d.s.l <> '' AND a.s.l <> ''),
       k AS (SELECT *, CASE WHEN dl = al THEN 3.0::DOUBLE ELSE CASE WHEN q >= 0.85 THEN 2.5::DOUBLE WHEN q >= 0.7 THEN 1.5::DOUBLE WHEN q >= 0.55 THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END END AS s1 FROM (SELECT *, 1.0::DOUBLE - levenshtein(dl, al)::DOUBLE / greatest(length(dl), length(al)) AS q FROM m)),
       r AS (SELECT *, s1 + (CASE WHEN ds.t = zs.t OR (ds.t IN ('Mr.', 'Esq.', '') AND zs.t IN ('Mr.', 'Esq.', '')) OR (ds.t IN ('Rev.', 'Rev. Mr.') AND zs.t IN ('Rev.', 'Rev. Mr.')) OR (ds.t IN ('Mrs.', '') AND zs.t IN ('Mrs.', '')) OR (ds.t IN ('Miss', '') AND zs.t IN ('Miss', '')) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)
@@ -262,3 +262,139 @@ SQL["ledger_harvest"] = SQL["group_to_pairs"].replace("WITH r AS", f"WITH o AS (
     CASE WHEN o.verdict IS NOT NULL AND f.verdict <> o.verdict THEN concat('[was ', o.verdict, ', now ', f.verdict, ']') ELSE '' END AS note,
     CASE WHEN o.verdict IS NULL OR f.verdict <> o.verdict THEN f.name_a ELSE o.name_a END AS name_a, CASE WHEN o.verdict IS NULL OR f.verdict <> o.verdict THEN f.context_b ELSE o.context_b END AS context_b
   FROM f FULL JOIN o ON f.entry_a = o.entry_a AND f.entry_b = o.entry_b"""
+
+_SPACING = [(r"\.-([A-Z][a-z])", r". \1", "g"), (r"\.([A-Za-z])", r". \1", "g"), ("([a-z])([A-Z])", r"\1 \2", "g"), (r"\bMc ([A-Z])", r"Mc\1", "g"),
+            (r"\bMac ([A-Z])", r"Mac\1", "g"), (r"([a-z])of(\s|[A-Z])", r"\1 of\2", "g"), (r"\b([A-Z]) \.", r"\1.", "g")]
+_HONORIFICS = [(r"(?:His|Her) Grace the\s+", "", "gi"), (r"(?:His|Her) (?:Royal )?Highness the\s+", "", "gi"), (r"His\s+Excellen(?:ce|cy)\s+(?:the\s+)?", "", "gi")]
+_PEERS = f"(?:Dowager )?(?:{text.PEERAGES})"
+# Where a pattern has to look ahead, letters are taken along, and a second pass finds what the first has stepped over.
+_INITIALS = [(r"\b([A-Z])\.\s*([A-Z])\.", r"\1. \2.", "g"), *[(r"\b([A-Z])\s([A-Z][.\s])", r"\1. \2", "g")] * 2, (r"(\. [A-Z]) ([A-Z])", r"\1. \2", "g")]
+
+
+def _peerage(c: str) -> str:
+    """No title is taken for a place: a Dowager who follows is put out of sight."""
+    hidden = _chain(c, [(rf"\b({_PEERS})\s+Dowager\b", r"\1 !owager", "g")])
+    return f"replace({_chain(hidden, [(rf'\b({_PEERS})\s+([A-Z])', r'\1 of \2', 'g')])}, '!owager', 'Dowager')"
+
+
+def _squeezed(c: str) -> str:
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+def _spelt(c: str) -> str:
+    return f"replace(regexp_replace(regexp_replace(regexp_replace({c}, '\\bNew Town\\b', 'Newtown', 'gi'), '\\bWyndham\\b', chr(1), 'gi'), '\\bWundham\\b', 'Wyndham', 'gi'), chr(1), 'Windham')"
+
+
+def _from(new: str, old: str = "listed_as") -> str:
+    """An expression over the listed name as one over a column of another name."""
+    return new.replace("listed_as", old)
+
+
+_POST = "|".join(x.replace(".", r"\.") for x in parse.POSTNOMINAL_PAIRS + parse.POSTNOMINALS)
+_WIDE_POST = "|".join(x.replace(".", r"\.").replace(" ", "  ") for x in parse.POSTNOMINAL_PAIRS + parse.POSTNOMINALS)
+_COPIES = "|".join(f"(?:{p})" for p in text.COPIES)
+_TITLES_OF = "|".join(text.TITLES_WITH_OF)
+_PLAIN_TITLE = "CASE WHEN trim(parsed_title) = '' AND lower(parsed_postnominals) LIKE '%esq%' THEN 'esq.' ELSE lower(trim(parsed_title)) END"
+_CROSS = PAIRS.replace("b.row_ord AS b_row,", "b.row_ord AS b_row, b.book AS b_book,").replace(
+    "ON a.parsed_last = b.parsed_last AND a.book = b.book AND a.row_ord < b.row_ord WHERE a.parsed_last <> ''",
+    "ON substr(a.parsed_last, 1, 2) = substr(b.parsed_last, 1, 2) AND a.row_ord < b.row_ord WHERE a.parsed_last <> '' AND b.parsed_last <> ''",
+)
+_PREFIX = "^(?:de la|de|du|la|le|van|von) "
+_BOOKS = "b AS (SELECT p_partkey AS id, p_type AS author, concat_ws(' ', 'The', p_name, 'and the', p_type, 'of', p_brand) AS book FROM part)"
+_IDS = SQL["identity_collapse"]
+_FILE_NAMES = [present.ISOLATE_COLOR, *present.CLUSTER_COLORS]
+
+SQL |= {
+    "norm_spacing": _text(_chain("listed_as", _SPACING)),
+    "norm_squeeze": _text(_squeezed("concat('  ', translate(listed_as, ',', chr(9)))")),
+    "norm_the": _text("regexp_replace(listed_as, '^The\\s+', '', 'i')"),
+    "norm_geographic_of": _text(f"replace(replace(regexp_replace(concat(listed_as, ' of Kent and Duke of York'), '(^|\\s)({_TITLES_OF})(\\.*) of ', '\\1\\2\\3!of ', 'gi'), ' of ', ' '), '!of ', ' of ')"),
+    "norm_changed": N + f""" SELECT count(*) FILTER (replace(replace(translate(listed_as, ',;', '  '), '[?]', ''), ' & ', ' and ') <> listed_as) AS punct,
+      count(*) FILTER (regexp_replace(listed_as, '\\s+(?:\\d+\\s+)?(?:of\\s+)?(?:ditto|do\\.?)\\s*$', '', 'i') <> listed_as) AS ditto,
+      count(*) FILTER ({_chain("listed_as", [("[-–—]{2,}", "----", "g"), ("(----)([A-Za-z])", r"\1 \2", "g")])} <> listed_as) AS dashes FROM n""",
+    "norm_peerage_of": _text(_peerage("listed_as")),
+    "norm_initials": _text(_chain("listed_as", _INITIALS)),
+    "norm_full": N + f""", a AS (SELECT row_ord, {_squeezed(_chain("replace(replace(translate(listed_as, ',;', '  '), '[?]', ''), ' & ', ' and ')", _SPACING))} AS x FROM n),
+      b AS (SELECT row_ord, {_spelt("x")} AS x FROM a), c AS (SELECT row_ord, {_from(_titles, "x")} AS x FROM b), d AS (SELECT row_ord, {_from(_periods, "x")} AS x FROM c),
+      e AS (SELECT row_ord, {_peerage(_chain("x", _HONORIFICS))} AS x FROM d),
+      m(k, v) AS (VALUES {_first_values}), t AS (SELECT row_ord, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM (SELECT row_ord, {_words("x")} AS w FROM e)),
+      g AS (SELECT row_ord, bool_or(regexp_replace(lower(tok), '\\.+$', '') IN ('mr','esq','sir','rev','capt','col','dr','lt','adm','sgt','prof','hon')) AS he,
+        bool_or(regexp_replace(lower(tok), '\\.+$', '') IN ('mrs','miss','ms','dame','lady')) AS she FROM t GROUP BY row_ord),
+      f AS (SELECT row_ord, string_agg(coalesce(CASE WHEN lower(tok) IN ('fran.', 'fran') THEN CASE WHEN he AND NOT she THEN 'Francis' WHEN she AND NOT he THEN 'Frances' END END, v, tok), ' ' ORDER BY i) AS x
+        FROM t JOIN g USING (row_ord) LEFT JOIN m ON m.k = lower(tok) GROUP BY row_ord),
+      h AS (SELECT row_ord, regexp_replace(regexp_replace(regexp_replace(coalesce(f.x, ''), '^The\\s+', '', 'i'), '{_COPIES}', '', 'gi'), '\\s+(?:\\d+\\s+)?(?:of\\s+)?(?:ditto|do\\.?)\\s*$', '', 'i') AS x FROM n LEFT JOIN f USING (row_ord)),
+      j AS (SELECT row_ord, regexp_replace({_chain("x", [("[-–—]{2,}", "----", "g"), ("(----)([A-Za-z])", r"\1 \2", "g"), *_INITIALS])}, ':+$', '') AS y FROM h),
+      z AS (SELECT *, string_split_regex(y, '\\s+')[-1] AS last_ FROM j)
+      SELECT row_ord, {_squeezed(f'''regexp_replace(regexp_replace(CASE WHEN suffix(y, '.') AND NOT list_contains({_list(text.ABBREVIATIONS)}, regexp_replace(last_, '\\.+$', ''))
+        AND NOT (length(last_) <= 4 AND regexp_matches(last_, '[A-Za-z]\\.')) THEN substr(y, 1, length(y) - 1) ELSE y END, '\\.\\s*\\.', '.', 'g'), '\\b({"|".join(text.WHOLE_WORDS)})\\.\\s', '\\1 ', 'gi')''')} AS name FROM z""",
+    "order_joined": SQL["order_detect"].replace("SELECT list_key, CASE WHEN w IN (1, 3)", ", q AS (SELECT list_key, CASE WHEN w IN (1, 3)", 1) + """)
+      SELECT n.row_ord, q."order" AS name_order FROM n JOIN q ON q.list_key = concat_ws('|', author, book, edition)""",
+    "order_overrides": f"""SELECT list_key, CASE split_part(list_key, '|', 3) WHEN '1' THEN 'last-first' WHEN '2' THEN 'first-last' ELSE "order" END AS "order",
+      CASE WHEN split_part(list_key, '|', 3) IN ('1', '2') THEN 'high' ELSE confidence END AS confidence, CASE WHEN split_part(list_key, '|', 3) IN ('1', '2') THEN 'override' ELSE source END AS source FROM ({SQL["order_detect"]}) x""",
+    "trailing_postnominals": N + f""", x AS (SELECT row_ord, trim(concat_ws(' ', parsed_last, parsed_postnominals, CASE WHEN row_ord % 3 = 0 THEN 'Jun.' END)) AS nm FROM n),
+      y AS (SELECT *, regexp_extract(nm, '((?:(?:^|\\s+)(?:{_POST}))+)$', 1, 'i') AS p FROM x) SELECT row_ord, trim(p) AS post, trim(substr(nm, 1, length(nm) - length(p))) AS rest FROM y""",
+    "postnominals_anywhere": N + f""", x AS (SELECT row_ord, concat(' ', replace(trim(concat_ws(' ', parsed_postnominals, parsed_last, CASE WHEN row_ord % 3 = 0 THEN 'bart. M. P. x' END)), ' ', '  '), ' ') AS nm FROM n)
+      SELECT row_ord, replace(array_to_string(list_transform(regexp_extract_all(nm, ' (?:{_WIDE_POST}) ', 0, 'i'), lambda p: trim(p)), ' '), '  ', ' ') AS post, {_squeezed(f"regexp_replace(nm, ' (?:{_WIDE_POST}) ', '', 'gi')")} AS rest FROM x""",
+    "location_removed": N + f""", x AS (SELECT row_ord, parsed_location AS place, trim(concat_ws(' ', parsed_first, parsed_last, CASE WHEN row_ord % 2 = 0 THEN parsed_location END)) AS nm FROM n),
+      y AS (SELECT *, {_words("nm")} AS w, {_words("place")} AS p FROM x)
+      SELECT row_ord, CASE WHEN place = '' OR nm = '' THEN nm WHEN lower(array_to_string(w[greatest(1, len(w) - len(p) + 1):len(w)], ' ')) = lower(array_to_string(p, ' ')) THEN array_to_string(w[1:len(w) - len(p)], ' ') ELSE array_to_string(w, ' ') END AS name FROM y""",
+    "words_corrected": _text(f"array_to_string(list_transform({_words('listed_as')}, lambda w: CASE lower(w) WHEN 'birch' THEN 'Beech' WHEN 'green' THEN 'Greene' ELSE w END), ' ')"),
+    "surname_prefixes": N + f" SELECT row_ord, regexp_replace(lower(parsed_last), '{_PREFIX}', '') AS bare FROM n",
+    "initials_only": N + """ SELECT row_ord, length(trim(replace(parsed_first, '.', ''))) = 1 AS one, regexp_matches(trim(replace(trim(parsed_first), '.', ' ')), '^\\S(?:\\s+\\S){1,}$') AS two,
+      regexp_matches(trim(replace(trim(parsed_first), '.', ' ')), '^\\S(?:\\s+\\S){2,}$') AS three FROM n""",
+    "signatures": N + f""" SELECT row_ord, {_PLAIN_TITLE} AS title, lower(trim(parsed_first)) AS "first", lower(trim(parsed_last)) AS "last", lower(trim(parsed_postnominals)) AS post FROM n""",
+    "match_pairs_cross": _CROSS + f""", k AS (SELECT *, regexp_replace(lower(trim(parsed_last)), '{_PREFIX}', '') AS na, regexp_replace(lower(trim(b_last)), '{_PREFIX}', '') AS nb FROM r
+        WHERE (edition <> b_edition OR book <> b_book) AND titles_ok AND first_ <> 'conflict' AND loc_ <> 'conflict' AND occ_ <> 'conflict' AND aff_ <> 'conflict'),
+      u AS (SELECT *, na <> nb AND lb <> '' AND la = '' AND na = concat(nb, ' ', lb) AS in_a, na <> nb AND la <> '' AND lb = '' AND nb = concat(na, ' ', la) AS in_b FROM k),
+      v AS (SELECT *, CASE WHEN in_a OR in_b THEN 0 ELSE levenshtein(na, nb) END AS d, in_a OR in_b OR loc_ = 'match' AS placed, length(CASE WHEN in_a THEN nb ELSE na END) AS size FROM u),
+      w AS (SELECT *, (CASE WHEN ta NOT IN ('mr.', 'esq.', '') THEN 1.0 ELSE 0 END) + (CASE first_ WHEN 'exact' THEN 1.0 WHEN 'initial' THEN 0.5 ELSE 0 END) + (CASE WHEN placed THEN 1.0 ELSE 0 END)
+        + (CASE WHEN occ_ = 'match' THEN 1.0 ELSE 0 END) + (CASE WHEN aff_ = 'match' THEN 1.0 ELSE 0 END) + (CASE WHEN post_ = 'match' THEN 0.5 ELSE 0 END) AS signals FROM v)
+      SELECT row_ord AS a, b_row AS b, concat_ws('+', CASE WHEN d = 0 THEN 'exact_last' ELSE concat('fuzzy_last_', d) END, concat(first_, '_first'), CASE WHEN placed THEN 'loc' END, CASE WHEN occ_ = 'match' THEN 'occ' END,
+        CASE WHEN aff_ = 'match' THEN 'aff' END, CASE WHEN post_ = 'match' THEN 'post' END) AS verdict FROM w
+      WHERE signals >= 1 AND d <= (CASE WHEN size <= 4 THEN 0 WHEN size <= 7 THEN 1 ELSE 2 END) + CAST(first_ = 'exact' AS INT)""",
+    "identity_apply": f"WITH i AS ({_IDS}), n AS ({views.NAMELIST}) SELECT n.row_ord, coalesce(i.person_id, n.person_id) AS person_id FROM n LEFT JOIN i ON i.entry_id = n.entry_id",
+    "identity_conflicts": f'SELECT entry_id, "groups" FROM ({_IDS}) i WHERE "groups" > 1',
+    "group_order": f"WITH m AS ({views.MATCHES}) SELECT row_ord, group_id, min(row_ord) OVER (PARTITION BY group_id) AS group_ord FROM m",
+    "author_filter": N + " SELECT row_ord FROM n WHERE full_author = 'Peter Hollis'",
+    "review_view": f"WITH r AS ({views.REVIEWED}) SELECT " + ", ".join(f"rpad(CASE WHEN length({x}) > 7 THEN concat(substr({x}, 1, 6), '…') ELSE {x} END, 7, ' ') AS {y}" for x, y in (("group_id", "group_id"), ("CAST(row_ord AS VARCHAR)", "place"), ("normalized_name", "normalized_name"), ("book", "book"))) + " FROM r",
+    "run_counters": N + " SELECT count(*) AS \"rows\", count(*) FILTER (parsed_title <> '') AS titled, count(*) FILTER (parsed_location <> '') AS placed, count(*) FILTER (regexp_matches(trim(no), '^[0-9]+$')) AS numbered FROM n",
+    "person_labels": N + """, x AS (SELECT row_ord, array_to_string(list_filter([trim(parsed_title), trim(parsed_first), trim(parsed_last)], lambda p: p <> ''), ' ') AS nm, array_to_string(list_filter([trim(parsed_postnominals), trim(parsed_location)], lambda p: p <> ''), ', ') AS more FROM n)
+      SELECT row_ord, CASE WHEN more <> '' THEN concat(nm, ' (', more, ')') ELSE nm END AS label FROM x""",
+    "edition_report": f"SELECT dep_pid, arr_pid, score, concat(dep_editions[-1], '→', arr_editions[1]) AS edition_boundary FROM ({SQL['missed_match_scores']}) x ORDER BY score DESC, dep_pid, arr_pid LIMIT 50",
+    "pending_review": f"WITH r AS ({views.REVIEWED})" + """, f AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY row_ord) AS k FROM r) SELECT group_id, row_ord, match_rule FROM f WHERE k = 1 AND lower(trim("match")) NOT IN ('y', 'n') AND contains(match_rule, 'exact')""",
+    "review_actions": f"WITH r AS ({views.REVIEWED})" + """, f AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY row_ord) AS k, bool_or(row_ord % 4 = 0) OVER (PARTITION BY group_id) AS acted FROM r)
+      SELECT group_id, row_ord, CASE WHEN NOT acted THEN '' WHEN k = 3 THEN 'x' ELSE 'y' END AS "match" FROM f""",
+    "ledger_apply": f"WITH RECURSIVE r AS ({views.REVIEWED}), o AS ({views.LEDGER})" + """, h AS (SELECT group_id, arg_min(entry_id, row_ord) AS lead, count(*) AS n FROM r GROUP BY group_id),
+      k AS (SELECT a.group_id, a.entry_id AS x, b.entry_id AS y, o.verdict FROM r a JOIN r b ON a.group_id = b.group_id AND a.entry_id < b.entry_id JOIN o ON o.entry_a = a.entry_id AND o.entry_b = b.entry_id),
+      s AS (SELECT group_id, lead AS entry FROM h UNION SELECT s.group_id, CASE WHEN k.x = s.entry THEN k.y ELSE k.x END FROM s JOIN k ON k.group_id = s.group_id AND k.verdict = 'y' AND (k.x = s.entry OR k.y = s.entry)),
+      e AS (SELECT r.group_id, r.row_ord, r.entry_id, s.entry IS NOT NULL AS tied FROM r LEFT JOIN s ON s.group_id = r.group_id AND s.entry = r.entry_id),
+      d AS (SELECT k.group_id, a.tied AND b.tied AS torn, CASE WHEN a.tied AND NOT b.tied THEN k.y WHEN b.tied AND NOT a.tied THEN k.x END AS out_ FROM k JOIN e a ON a.group_id = k.group_id AND a.entry_id = k.x JOIN e b ON b.group_id = k.group_id AND b.entry_id = k.y WHERE k.verdict = 'n'),
+      g AS (SELECT h.group_id, h.n, (SELECT count(*) FROM e WHERE e.group_id = h.group_id AND tied) AS inside, (SELECT count(*) FROM d WHERE d.group_id = h.group_id) AS apart,
+        (SELECT count(*) FROM d WHERE d.group_id = h.group_id AND torn) AS torn, (SELECT count(DISTINCT out_) FROM d WHERE d.group_id = h.group_id) AS refused FROM h)
+      SELECT e.group_id, e.row_ord, CASE WHEN inside = 1 AND n >= 2 AND 2 * apart = n * (n - 1) THEN 'n' WHEN inside > 1 AND torn = 0 AND refused = n - inside THEN CASE WHEN tied THEN 'y' ELSE 'x' END ELSE '' END AS "match"
+      FROM e JOIN g ON g.group_id = e.group_id""",
+    "ring_shrink": _RING + """, q AS (SELECT place, cos(angle) AS x, sin(angle) AS y, radius FROM ring), t AS (SELECT x, y, radius, coalesce(lead(x) OVER v, first_value(x) OVER v) AS nx, coalesce(lead(y) OVER v, first_value(y) OVER v) AS ny, coalesce(lead(radius) OVER v, first_value(radius) OVER v) AS nr
+        FROM q WINDOW v AS (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+      SELECT least(1.0::DOUBLE, least(1.0::DOUBLE, min(CASE WHEN radius + nr > 0 THEN sqrt(pow(x - nx, 2) + pow(y - ny, 2)) / ((radius + nr) * 0.002::DOUBLE / 2) END)) * 0.95::DOUBLE) AS factor FROM t""",
+    "community_colors": f"WITH {_BOOKS}, x AS (SELECT id, {_list(_FILE_NAMES)}[CASE WHEN id % 13 = 0 THEN 1 ELSE CAST((id % 13 - 1) % 10 AS INT) + 2 END] AS color FROM b)" + """,
+      y AS (SELECT id, color, CAST(concat('0x', color[2:3]) AS INT)::DOUBLE / 255 AS r, CAST(concat('0x', color[4:5]) AS INT)::DOUBLE / 255 AS g, CAST(concat('0x', color[6:7]) AS INT)::DOUBLE / 255 AS b FROM x),
+      z AS (SELECT *, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS light FROM y), s AS (SELECT *, CASE WHEN light > 0.45 THEN 0.45::DOUBLE / light ELSE 1.0::DOUBLE END AS f FROM z) SELECT id, color, r * f AS r, g * f AS g, b * f AS b FROM s""",
+    "highlights": f"WITH {_BOOKS} SELECT id, contains(lower(author), 'steel') OR contains(lower(book), 'steel') AS hit, FALSE AS none FROM b",
+    "chord_curves": """WITH a AS (SELECT p_partkey AS id, cos(p_partkey) AS ax, cos(p_partkey * 2) AS bx, sin(p_partkey) AS ay, sin(p_partkey * 2) AS by_ FROM part),
+      c AS (SELECT *, (0.55::DOUBLE - 0.45::DOUBLE * sqrt(pow(ax - bx, 2) + pow(ay - by_, 2)) / 2) / 1.5::DOUBLE AS bow, unnest(range(5)) AS k FROM a), t AS (SELECT *, k / 4.0::DOUBLE AS t FROM c)
+      SELECT id, k, (1 - t) * (1 - t) * ax + 2 * (1 - t) * t * (ax + bx) * bow + t * t * bx AS x, (1 - t) * (1 - t) * ay + 2 * (1 - t) * t * (ay + by_) * bow + t * t * by_ AS y FROM t""",
+    "list_scan": N + """, x AS (SELECT CAST(1 - row_ord % 2 AS INT) AS file, row_ord, listed_as, full_book AS book, CASE WHEN row_ord % 2 = 0 THEN entry_id ELSE '' END AS own0, CASE WHEN row_ord % 2 = 1 THEN entry_id ELSE '' END AS own1 FROM n)
+      SELECT file, row_number() OVER (ORDER BY file, row_ord) - 1 AS row_ord, listed_as, book, own0, own1 FROM x""",
+    "skipped_lists": "SELECT 'c.csv' AS name",
+    "required_columns": "SELECT unnest(['book,shelf', 'shelf']) AS asked",
+    "optional_tables": f"WITH h AS ({views.HOLDERS}) SELECT title_key, person_name, '' AS wikidata_id, start_year, end_year FROM h",
+    "lexicons": "SELECT * FROM (VALUES ('word', 'attorney', ''), ('word', 'printer', ''), ('pair', 'Wundham', 'Wyndham'), ('pair', 'New Town', 'Newtown')) t(kind, word, correction)",
+    "csv_sink": N + " SELECT entry_id, listed_as, full_book FROM n",
+    "csv_replaced": N + " SELECT entry_id, listed_as FROM n WHERE contains(listed_as, 'Birch')",
+    "ledger_file": f"WITH l AS ({views.LEDGER}) SELECT entry_a, entry_b, verdict, name_a, name_b, context_a, context_b, note FROM l",
+    "candidates_file": N + " SELECT entry_id, book, edition, TRUE AS wrote, FALSE AS none FROM n",
+    "graphml_round_trip": S + """, f AS (SELECT * FROM s WHERE book < 'Brand#3'), w AS (SELECT book, arg_min(author, row_ord) AS author, min(CAST(year AS INT)) AS first_year, max(CAST(year AS INT)) AS last_year FROM f GROUP BY book),
+      p AS (SELECT person_id, arg_max(concat('<&"> ', normalized_name), row_ord) AS normalized_name FROM f GROUP BY person_id), e AS (SELECT DISTINCT person_id, book FROM f)
+      SELECT e.person_id, e.book, author, first_year, last_year, normalized_name FROM e JOIN w ON w.book = e.book JOIN p ON p.person_id = e.person_id""",
+    "drawing_shapes": GRAPH + " SELECT (SELECT count(*) FROM z) AS works, (SELECT count(*) FROM g WHERE shared > 0) AS chords, (SELECT count(*) FROM z) AS labels",
+}

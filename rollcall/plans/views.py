@@ -19,19 +19,24 @@ def _pick(values: str, index: str) -> str:
     return f"split_part('{values}', '|', CAST(({index}) % {values.count('|') + 1} + 1 AS INT))"
 
 
+def _mix(k: int) -> str:
+    """A number that looks random, another one for each ``k``, from the customer's key."""
+    return f"CAST(floor(((c_custkey * {2 * k + 7919}) % 1000003) / 97) AS BIGINT)"
+
+
 _BASE = f"""
 SELECT c_custkey AS row_ord, concat('E', CAST(c_custkey AS STRING)) AS entry_id,
-  {_pick("Mr.|Mrs.|Miss|Rev.||Dr.|Mr.|Capt.||Sir|Mr.|Rev. Mr.", "c_custkey * 7")} AS parsed_title,
-  {_pick("John|Mary|Thomas|J.|William|Ann||Joseph|Jon|T.|Joseph|James|R. L.", "c_custkey * 31")} AS parsed_first,
-  CASE WHEN c_custkey % 37 = 0 THEN '' ELSE concat({_pick("Ash|Bell|Cole|Howarth|Haworth|Smith|Smyth|Birch|Green|Greene|de la Tour|Tour|Low|Lowe|Mills", "c_custkey * 13")},
+  {_pick("Mr.|Mrs.|Miss|Rev.||Dr.|Mr.|Capt.||Sir|Mr.|Rev. Mr.|Mr.", _mix(1))} AS parsed_title,
+  {_pick("John|Mary|Thomas|J.|William|Ann||Joseph|Jon|T.|John|James|R. L.|Josef|R. L.", _mix(2))} AS parsed_first,
+  CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat({_pick("Ash|Bell|Cole|Howarth|Haworth|Smith|Smyth|Birch|Green|Greene|de la Tour|Tour|Low|Lowe|Mills", _mix(3))},
     {_pick("|son|ton|ley|by|er|wick|ham|ford|worth", "CAST(floor(c_custkey / 90) AS BIGINT)")}) END AS parsed_last,
-  {_pick("|Esq.||Jun.||Esq|M. D||", "c_custkey * 11")} AS parsed_postnominals,
-  {_pick("||bookseller|printer and bookseller|||attorney at law|attorney|", "c_custkey * 5")} AS parsed_occupation,
-  {_pick("|||Trinity Coll|Trinity College|T. C. D|T.C.D|||", "c_custkey * 3")} AS parsed_affiliation,
-  {_pick("|Leeds||Hull|New-York|Newyork||London", "c_custkey * 17")} AS parsed_location,
-  {_pick("Chronicle|Letters|Voyages and Reflections", "c_custkey")} AS book,
-  CAST(CAST(floor(c_custkey / 3) AS BIGINT) % 5 + 1 AS STRING) AS edition,
-  CAST(1780 + CAST(floor(c_custkey / 3) AS BIGINT) % 5 AS STRING) AS year
+  {_pick("||Esq.||||Jun.|Esq|M. D|", _mix(4))} AS parsed_postnominals,
+  {_pick("|||bookseller|||printer and bookseller|||attorney at law|attorney|", _mix(5))} AS parsed_occupation,
+  {_pick("||||Trinity Coll|||Trinity College||T. C. D|T.C.D|||", _mix(6))} AS parsed_affiliation,
+  {_pick("|Leeds|||Hull||New-York|Newyork|||London|", _mix(7))} AS parsed_location,
+  {_pick("Chronicle|Letters|Voyages and Reflections", _mix(8))} AS book,
+  CAST({_mix(9)} % 5 + 1 AS STRING) AS edition,
+  CAST(1780 + {_mix(9)} % 5 AS STRING) AS year
 FROM customer
 """
 
@@ -52,7 +57,7 @@ TITLED = f"""
 SELECT row_ord, entry_id, concat('P', entry_id) AS person_id, 'titled' AS name_type,
   concat({_pick("duke|earl|countess|bishop", "row_ord")}, ' of ', {_pick("ashford|hull|bedford|leeds|york|kent|bath", "row_ord * 3")},
     {_pick("| one| two| three| four| five", "CAST(floor(row_ord / 7) AS BIGINT)")}) AS title_key, normalized_name, book, edition, year, listed_as
-FROM ({NAMELIST}) t WHERE row_ord % 11 = 0
+FROM ({NAMELIST}) t
 """
 
 HOLDERS = """

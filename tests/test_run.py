@@ -49,10 +49,10 @@ def test_run(spark, folder, tmp_path):
     shared = out["shared"].collect()
     assert [(r.normalized_name, r.num_works, r.works) for r in shared] == [("Duke of Hull", 2, "Letters; The Chronicle")]
     assert out["overlap"].first().shared == 1
-    lines = "".join(sinks.graphml(out["works"], out["persons"], out["edges"]))
-    assert lines.count("<node") == out["works"].count() + out["persons"].count() and lines.count("<edge") == out["edges"].count()
     graphml = tmp_path / "graph.xml"
-    graphml.write_text(lines)
+    sinks.write_graphml(out["works"], out["persons"], out["edges"], str(graphml))
+    lines = graphml.read_text()
+    assert lines.count("<node") == out["works"].count() + out["persons"].count() and lines.count("<edge") == out["edges"].count()
     works, persons, edges = read_graphml(spark, str(graphml))
     for read, made in ((works, out["works"]), (persons, out["persons"]), (edges, out["edges"])):
         assert sorted(map(tuple, read.collect())) == sorted(map(tuple, made.select(*read.columns).collect()))
