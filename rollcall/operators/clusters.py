@@ -3,26 +3,31 @@
 Which pairs of entries match, and by what rule, is told by joins on blocks of
 last names and Column expressions. Only the order-dependent part, in which
 entries are taken by clusters one after another, runs as a kernel: on the
-entries and matching pairs of one connected group of last names, which are
-independent of all other groups.
+entries of blocks that matching entries tie together, which are independent of
+all others. Blocks without a matching pair do not get there.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions.compat import FIELDS, clean, cross_eligible, effective_title, entries_match, first_names, is_multi_initial, signature, strip_surname_prefix
 from rollcall.operators.components import connected_components
 from rollcall.operators.fuzzy import fuzzy_self_join
+from rollcall.operators.numbering import numbered
 from rollcall.sources.shared import saved
 
 #: Radius of fuzzy groups, and limits of links that need no review.
 RADIUS, SURE_DISTANCE = 3, 2
-_OUT = "scope int, place long, k1 long, k2 long, k3 long, k4 long, seq long, match string, row_ord long, match_rule string, match_tier string"
+if TYPE_CHECKING:
+    import pandas as pd
+
+_OUT = "scope int, place long, k1 long, k2 long, k3 long, k4 long, k5 long, seq long, match string, row_ord long, match_rule string, match_tier string"
 
 
 def _side(prefix: str):
@@ -115,12 +120,14 @@ class _Greedy:
                 yield cluster, rule
 
     def emit(self, scope: int, place: int, keys: tuple, rows, match: str, rule: str, tiers) -> None:
-        keys = (*keys, 0, 0, 0, 0)[:4]
+        keys = (*keys, 0, 0, 0, 0)[:5]
         for seq, row in enumerate(rows):
             tier = tiers if isinstance(tiers, str) else tiers(row)
             self.out.append((scope, place, *keys, seq, match, row, rule, tier))
 
     def frame(self) -> pd.DataFrame:
+        import pandas as pd  # on executors only; a driver without it is smaller
+
         return pd.DataFrame(self.out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
 
@@ -200,7 +207,6 @@ def _within(pool: _Greedy, book_ord: int, distance: dict[tuple[str, str], int],
         return key
 
     sizes = {key: len(rows) for key, rows in members.items()}
-    number = {key: k for k, key in enumerate(groups)}
     tested = set()
     for x, left in leads.items():
         for y, right in leads.items():
@@ -224,7 +230,7 @@ def _within(pool: _Greedy, book_ord: int, distance: dict[tuple[str, str], int],
                         into[gone] = keep
                         sizes[keep] += sizes[gone]
                     else:
-                        pool.emit(0, book_ord, (5, number[a], number[b]), [groups[a][0], groups[b][0]], "", renamed(rule, d), "candidate_cluster_merge")
+                        pool.emit(0, book_ord, (5, blocks[x][0], blocks[y][0], a[2], b[2]), [groups[a][0], groups[b][0]], "", renamed(rule, d), "candidate_cluster_merge")
                         pool.candidates.update((groups[a][0], groups[b][0]))
     for key, rows in members.items():
         for row in rows:
@@ -256,13 +262,27 @@ def _across(pool: _Greedy, near_raw: dict[str, set[str]]) -> None:
             pool.candidates.update(r for r in cluster if r not in matched)
 
 
-def _with_group(entries: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """``entries`` plus ``group``, the connected group of near last names that their block is in."""
-    ids = entries.select("block").distinct().select("block", F.xxhash64("block").alias("id"))
-    edges = names.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v"))
-    found = connected_components(edges, "name-groups").select(F.col("node").alias("id"), "component")
-    group = ids.join(found, "id", "left").select("block", F.coalesce("component", "id").alias("group"))
-    return entries.join(group, "block")
+def _with_group(entries: DataFrame, pairs: DataFrame, near: DataFrame, keys: list[str]) -> DataFrame:
+    """``entries`` of blocks that have a matching pair, plus ``group``: blocks that the kernel has to see together.
+
+    These are blocks with entries that match one another, and the names that are
+    near to both, as those are where such entries meet. The names that are near
+    one another do not matter as such: in a long list of surnames nearly all of
+    them hang together.
+    """
+    place = entries.select("row_ord", "block", *keys)
+    one = place.select(F.col("row_ord").alias("a"), F.col("block").alias("x"), *keys)
+    other = place.select(F.col("row_ord").alias("b"), F.col("block").alias("y"))
+    met = saved(pairs.select("a", "b").join(one, "a").join(other, "b").select(*keys, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "match-blocks")
+    both = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hubs = met.where("x <> y").join(both.select(F.col("a").alias("x"), F.col("b").alias("z")), "x").join(both.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"])
+    node = lambda c: F.struct(*[F.col(k) for k in keys], F.col(c).alias("block"))
+    edges = met.select(node("x").alias("u"), node("y").alias("v")).union(hubs.select(node("x").alias("u"), node("z").alias("v"))).union(hubs.select(node("y").alias("u"), node("z").alias("v")))
+    found = connected_components(edges, "match-groups")
+    at = entries.withColumn("node", node("block"))
+    at = at.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    known = met.select(node("x").alias("group")).union(met.select(node("y").alias("group"))).union(found.select(F.col("component").alias("group"))).distinct()
+    return at.join(known, "group", "left_semi").drop("node", "component").withColumn("group", F.xxhash64("group"))
 
 
 def _run(entries: DataFrame, pairs: DataFrame, names: DataFrame, keys: list[str], kernel) -> DataFrame:
@@ -273,8 +293,6 @@ def _run(entries: DataFrame, pairs: DataFrame, names: DataFrame, keys: list[str]
     near = names.join(blocks.withColumnRenamed("block", "a"), "a").select(*keys, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit("").alias("rule"), F.lit("").alias("first"), F.col("a").alias("x"), F.col("b").alias("y"), F.col("distance"), F.col("near"))
 
     def run(key, rows: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame([], columns=[c.split()[0] for c in _OUT.split(", ")])
         told = facts[facts.kind == 1]
         distance = {(x, y): d for x, y, d in zip(told.x, told.y, told.distance, strict=True)}
         near_raw = defaultdict(set)
@@ -312,19 +330,20 @@ def match_components(parsed: DataFrame, title_ids: DataFrame, relaxed: bool = Tr
     names = name_pairs(entries).join(raw, ["a", "b"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
     names = saved(names, "match-names")
     slim = ["row_ord", "book", "edition", "block", "initials", "sig_title", "sig_first", "sig_last", "sig_post", "book_ord"]
-    grouped = saved(_with_group(entries, names, ["book"]).select(*slim, "group"), "match-grouped")
-    pairs = matching_pairs(entries, names, "within_book")
+    pairs = saved(matching_pairs(entries, names, "within_book"), "match-pairs")
+    grouped = saved(_with_group(entries, pairs, names.where("near"), ["book_ord"]).select(*slim, "group"), "match-grouped")
     within = saved(_run(grouped, pairs, names, ["book_ord", "group"], lambda pool, rows, distance, near: _within(pool, int(rows.book_ord.iloc[0]), distance, near)), "match-within")
 
     doubtful = within.where("match = ''").select("row_ord").distinct()
     sure = within.where("match = 'y'").select("row_ord").distinct().withColumn("matched", F.lit(True))
     able = entries.where(cross_eligible(entries.__getitem__, relaxed) & (F.col("last") != "")).join(doubtful, "row_ord", "left_anti")
     near = names.where("near")
-    across_rows = _with_group(able, near, []).join(sure, "row_ord", "left").select(*slim, "group", F.coalesce("matched", F.lit(False)).alias("matched"))
-    across = _run(saved(across_rows, "match-able"), matching_pairs(able, near, "cross_book"), near, ["group"], lambda pool, rows, distance, near_raw: _across(pool, near_raw))
+    pairs = saved(matching_pairs(able, near, "cross_book"), "match-cross-pairs")
+    across_rows = _with_group(able, pairs, near, []).join(sure, "row_ord", "left").select(*slim, "group", F.coalesce("matched", F.lit(False)).alias("matched"))
+    across = _run(saved(across_rows, "match-able"), pairs, near, ["group"], lambda pool, rows, distance, near_raw: _across(pool, near_raw))
     every = saved(within.union(across), "match-rows")
-    keys = ["scope", "place", "k1", "k2", "k3", "k4"]
-    numbers = every.select(*keys).distinct().withColumn("n", F.row_number().over(Window.orderBy(*keys)))
+    keys = ["scope", "place", "k1", "k2", "k3", "k4", "k5"]
+    numbers = numbered(every.select(*keys).distinct(), keys, "n", "match-numbers")
     out = every.join(numbers, keys).join(entries.select("row_ord", "entry_id"), "row_ord")
     return out.select(F.format_string("cm_%04d", "n").alias("group_id"), "match", "row_ord", "entry_id", "match_rule", "match_tier", "seq")
 

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.operators.components import connected_components
+from rollcall.operators.numbering import numbered
+from rollcall.sources.shared import saved
+
+if TYPE_CHECKING:
+    import pandas as pd
+
 MEASURES = ("count", "jaccard", "repr")
 
 
@@ -72,9 +81,14 @@ def projected_edges(pairs: DataFrame, measure: str = "jaccard") -> DataFrame:
     return pairs.where((F.col("shared") > 0) & (F.col(measure) > 0)).select("work_a", "work_b", F.col(measure).alias("weight"))
 
 
-def greedy_communities(nodes: list[str], weights: dict[tuple[str, str], float], resolution: float = 1.0) -> list[set[str]]:
-    """Communities of greatest modularity by repeatedly merging the pair that gains most, while one gains."""
-    total = sum(weights.values())
+def greedy_communities(nodes: list[str], weights: dict[tuple[str, str], float], resolution: float = 1.0, total: float | None = None) -> list[set[str]]:
+    """Communities of greatest modularity by repeatedly merging the pair that gains most, while one gains.
+
+    Ties go to the first names. ``total`` is the weight of all edges of the
+    graph, if ``weights`` are those of a part of it that nothing ties to the
+    rest: gains within such a part depend on the others by that sum only.
+    """
+    total = sum(weights.values()) if total is None else total
     groups = {n: {n} for n in nodes}
     if not total:
         return list(groups.values())
@@ -83,34 +97,57 @@ def greedy_communities(nodes: list[str], weights: dict[tuple[str, str], float],
         degree[a] += w
         degree[b] += w
         between[a][b] = between[b][a] = w
-    while True:
-        gains = [(between[a][b] / total - resolution * degree[a] * degree[b] / (2 * total * total), a, b) for a in between for b in between[a] if a < b]
-        best = max(gains, key=lambda g: (g[0], [-ord(x) for x in g[1]], [-ord(x) for x in g[2]]), default=None)
-        if best is None or best[0] <= 0:
-            return list(groups.values())
-        _, a, b = best
+    version: dict[str, int] = defaultdict(int)
+    heap: list[tuple] = []
+
+    def offer(a: str, b: str) -> None:
+        a, b = min(a, b), max(a, b)
+        gain = between[a][b] / total - resolution * degree[a] * degree[b] / (2 * total * total)
+        heapq.heappush(heap, (-gain, a, b, version[a], version[b]))
+
+    for a, b in weights:
+        offer(a, b)
+    while heap:
+        loss, a, b, at, bt = heapq.heappop(heap)
+        if loss >= 0:
+            break
+        if a not in groups or b not in groups or (at, bt) != (version[a], version[b]):
+            continue
         groups[a] |= groups.pop(b)
         degree[a] += degree.pop(b)
         for other, w in between.pop(b).items():
             between[other].pop(b)
             if other != a:
                 between[a][other] = between[other][a] = between[a].get(other, 0.0) + w
+        version[a] += 1
+        for other in between[a]:
+            offer(a, other)
+    return list(groups.values())
 
 
-def communities(works: DataFrame, weighted: DataFrame, resolution: float = 1.0, most_works: int = 5000) -> DataFrame:
+def communities(works: DataFrame, weighted: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(book, community): by size from 0, and -1 for works on their own.
 
-    The projected graph has a node for each work, not for each person; it is
-    refused beyond ``most_works``. Ties go by title, which other tools may break
-    otherwise.
+    Each connected part of the projected graph is merged on its own, in one
+    task; a part has a node for each work, not for each person. Ties go by
+    title, which other tools may break otherwise.
     """
-    names = [r["book"] for r in works.select("book").orderBy("book").limit(most_works + 1).collect()]
-    if len(names) > most_works:
-        raise ValueError(f"more than {most_works} works")
-    weights = {tuple(sorted((r["work_a"], r["work_b"]))): r["weight"] for r in weighted.collect()}
-    found = sorted(greedy_communities(names, weights, resolution), key=lambda g: (-len(g), min(g)))
-    number = {name: k if len(group) > 1 else -1 for k, group in enumerate(found) for name in group}
-    return works.sparkSession.createDataFrame(sorted(number.items()), "book string, community int")
+    weighted = saved(weighted.select("work_a", "work_b", "weight"), "community-edges")
+    parts = connected_components(weighted.select(F.col("work_a").alias("u"), F.col("work_b").alias("v")), "community-parts")
+    total = weighted.agg(F.sum("weight").alias("total"))
+    at = weighted.join(parts.select(F.col("node").alias("work_a"), "component"), "work_a").join(F.broadcast(total))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
+        weights = {(min(a, b), max(a, b)): w for a, b, w in zip(part.work_a, part.work_b, part.weight, strict=True)}
+        found = greedy_communities(sorted({x for pair in weights for x in pair}), weights, resolution, float(part.total.iloc[0]))
+        return pd.DataFrame([(book, min(g), len(g)) for g in found if len(g) > 1 for book in g], columns=["book", "lead", "size"])
+
+    found = saved(at.groupBy("component").applyInPandas(run, "book string, lead string, size long"), "communities-found")
+    order = numbered(found.select((-F.col("size")).alias("less"), "lead").distinct(), ["less", "lead"], "number", "community-numbers")
+    member = found.join(order.select("lead", "number"), "lead").select("book", (F.col("number") - 1).cast("int").alias("community"))
+    return works.select("book").join(member, "book", "left").select("book", F.coalesce("community", F.lit(-1)).alias("community"))
 
 
 def community_order(works: DataFrame, membership: DataFrame) -> DataFrame:

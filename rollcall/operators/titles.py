@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.operators.numbering import numbered
+
 
 def holders_in_year(rows: DataFrame, holders: DataFrame) -> DataFrame:
     """``rows`` plus ``holder``, the only one whose term holds the row's year, else null.
@@ -51,7 +53,7 @@ def match_titles(parsed: DataFrame, holders: DataFrame) -> DataFrame:
     groups = at.select("title_key", "__split", "__part", "__first", "__size").distinct()
     parents = groups.select("title_key", F.lit(-1).cast("long").alias("__first"), F.lit("").alias("__part"), F.lit(True).alias("__parent")).distinct()
     children = groups.where("__split and __size >= 2").select("title_key", "__first", "__part", F.lit(False).alias("__parent"))
-    numbers = parents.union(children).withColumn("__number", F.row_number().over(Window.orderBy("title_key", "__first")))
+    numbers = numbered(parents.union(children), ["title_key", "__first"], "__number", "title-numbers")
     number = numbers.select(F.col("title_key").alias("__tk"), F.col("__part").alias("__pp"), F.col("__parent").alias("__up"), "__number")
     out = at.where("not __split or __size >= 2").join(number, (F.col("title_key") == F.col("__tk")) & (F.col("__part") == F.col("__pp")) & (F.col("__up") == ~F.col("__split")))
     return out.select(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rollcall.functions import compat
 from rollcall.operators import clusters, editions, graph, identity, ledger, titles
 from rollcall.operators.fuzzy import fuzzy_self_join
+from rollcall.operators.numbering import numbered
 from rollcall.plans import views
 
 FIELDS = ["book", "edition", *compat.FIELDS]
@@ -84,6 +85,36 @@ def test_clusters_link_and_merge(spark):
     assert sum("cluster_merge" in r[2] for r in results[0]) == 2
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_grouping_of_blocks_changes_nothing(spark, monkeypatch, seed):
+    """Kernels that see the blocks which matching entries tie together find what one that sees a whole book finds."""
+    rng = random.Random(seed)
+    lasts = "Ash Ashe Asher Ashes Bell Bells Belle Cole Coles Coley Smith Smyth Smythe Smithe Haworth Howarth Hawarth Haworthe Low Lowe Lowes".split()
+    pick = lambda *values: rng.choice(values)
+    rows = [
+        entry(pick("Mr.", "Mr.", "", "Rev.", "Dr."), pick("John", "John", "Jon", "J.", "", "Mary", "William", "R. L."), pick("", *lasts * 2), pick("", "", "Esq.", "Jun."), "",
+              "", pick("", "", "", "Leeds", "Hull"), pick("B", "C"), pick("1", "2", "3", "4"))
+        for _ in range(260)
+    ]
+    none = spark.createDataFrame([], "entry_id string")
+
+    def found():
+        got = clusters.match_components(namelist(spark, rows), none).collect()
+        return sorted((r.group_id, r.row_ord, r.match, r.match_rule, r.match_tier) for r in got)
+
+    apart = found()
+    monkeypatch.setattr(clusters, "_with_group", lambda entries, pairs, near, keys: entries.withColumn("group", F.lit(0).cast("long")))
+    assert apart == found()
+    assert {t for *_, t in apart} >= {"auto_within", "candidate_within", "auto_within_linkage", "candidate_cross"}
+
+
+def test_numbers_in_order(spark):
+    rows = spark.createDataFrame([(f"k{(7 * k) % 500:03d}", -k) for k in range(500)], "a string, b int").repartition(7)
+    got = numbered(rows, ["a", "b"], "n").collect()
+    assert [r.n for r in sorted(got, key=lambda r: (r.a, r.b))] == list(range(1, 501))
+    assert numbered(rows.where("false"), ["a"], "n").count() == 0
+
+
 def test_names_side_by_side_stay_apart(spark):
     rows = [entry("Mr.", "John", post="Jun."), entry("Mr.", "John", post="Sen."), entry("Mr.", "John", post="Jun.", edition="2")]
     got = clusters.match_components(namelist(spark, rows), spark.createDataFrame([], "entry_id string")).collect()
@@ -149,5 +180,32 @@ def test_communities():
     assert sorted(map(sorted, found)) == [["a", "b", "c"], ["d", "e"], ["f"]]
 
 
+def plain_communities(nodes, weights):
+    """The same by trying every pair of groups in each step."""
+    total, groups = sum(weights.values()), [{n} for n in sorted(nodes)]
+    inside = lambda g, h: sum(w for (a, b), w in weights.items() if (a in g and b in h) or (a in h and b in g))
+    degree = lambda g: sum(w * ((a in g) + (b in g)) for (a, b), w in weights.items())
+    while True:
+        gains = [(inside(g, h) / total - degree(g) * degree(h) / (2 * total * total), g, h) for k, g in enumerate(groups) for h in groups[k + 1 :] if inside(g, h)]
+        best = max(gains, key=lambda x: x[0], default=(0, None, None))
+        if best[0] <= 1e-12:
+            return sorted(map(sorted, groups))
+        groups = [g for g in groups if g is not best[1] and g is not best[2]] + [best[1] | best[2]]
+
+
+def test_communities_of_parts(spark):
+    """Parts that nothing ties together are merged on their own, with the weight of the whole graph."""
+    rng = random.Random(3)
+    names = [f"w{k:02d}" for k in range(18)]
+    weights = {(a, b): rng.random() + 0.01 for k, a in enumerate(names) for b in names[k + 1 :] if (a < "w09") == (b < "w09") and rng.random() < 0.4}
+    works = spark.createDataFrame([(n,) for n in [*names, "single"]], "book string")
+    got = {r.book: r.community for r in graph.communities(works, spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "work_a string, work_b string, weight double")).collect()}
+    groups = sorted(sorted(b for b in got if got[b] == k) for k in set(got.values()) if k >= 0)
+    assert groups == [g for g in plain_communities(names, weights) if len(g) > 1] and got["single"] == -1
+    sizes = [sum(v == k for v in got.values()) for k in range(len(groups))]
+    assert sizes == sorted(sizes, reverse=True)
+    assert {r.community for r in graph.communities(works, spark.createDataFrame([], "work_a string, work_b string, weight double")).collect()} == {-1}
+
+
 def test_views_exist():
     assert "row_ord" in views.SUBSCRIPTIONS and "parsed_last" in views.NAMELIST
