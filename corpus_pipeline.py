@@ -10,33 +10,61 @@ from rollcall.llm.decontaminate import decontaminate
 from rollcall.llm.jaccard_join import one_per_group
 from rollcall.llm.language_id import accepted, fit_languages, identify_languages
 from rollcall.llm.mixing import mix
-from rollcall.llm.sharding import assign_shards
+from rollcall.llm.sharding import assign_shards, map_path
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a determined language."""
-    found = identify_languages(docs, fit_languages(docs.select("doc_id", "text", "lang")))
-    return found.where(accepted(F.col("score"), F.col("lang_pred"))).select(*docs.columns)
+    """Drop documents without a determined language.
+
+    The network learns from the labelled rows of ``docs``. Texts that are null,
+    empty or without a letter go, as does everything if nothing is labelled.
+    Repeated rows stay or go together, an empty table stays empty, and other
+    columns are kept, whatever they are called.
+    """
+    found = identify_languages(docs.select(F.struct("*").alias("doc"), "text"), fit_languages(docs.select("doc_id", "text", "lang")))
+    return found.where(accepted(F.col("score"), F.col("lang_pred"))).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """Keep one document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    The smallest doc_id of a group stays. Texts without words, null or empty,
+    are no group and stay; of rows that repeat doc_id and text one stays. A row
+    without doc_id stays if its group has no other. An empty table stays empty
+    and other columns are kept, whatever they are called.
+    """
     return one_per_group(docs, width=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth or more lies in passages of the benchmark."""
+    """Drop documents of which a twentieth or more lies in passages of the benchmark.
+
+    Texts without words, null or empty, stay. Repeated rows stay or go together,
+    an empty table stays empty, an empty benchmark drops nothing, and other
+    columns are kept, whatever they are called.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), window=13, gram=9, share=20)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat and thin documents until the sources have their target shares."""
+    """Repeat and thin documents until the sources have their target shares.
+
+    A document comes twice at most. Null is a source of its own; a source
+    without words gives nothing. Repeated rows are drawn alike, rows without
+    doc_id by their text. An empty table stays empty and other columns are kept,
+    whatever they are called.
+    """
     return mix(docs, weights=(3, 1, 2), percent=150, most=2, seed="mix-1:")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deal the documents to eight shards of near equal bytes."""
-    return assign_shards(docs, shards=8)
+    """Deal the documents to eight shards of near equal bytes, by the slot map that is kept for the folder.
+
+    Null and empty texts have a size of 1. Repeated rows go to one shard, each
+    with a place of its own. An empty table stays empty; other columns are kept
+    but for those named like the new ones, in whatever case.
+    """
+    return assign_shards(docs, shards=8, path=map_path(spark, sf_dir, "pipeline"))
 
 
 STAGES = [
