@@ -398,3 +398,162 @@ SQL |= {
       SELECT e.person_id, e.book, author, first_year, last_year, normalized_name FROM e JOIN w ON w.book = e.book JOIN p ON p.person_id = e.person_id""",
     "drawing_shapes": GRAPH + " SELECT (SELECT count(*) FROM z) AS works, (SELECT count(*) FROM g WHERE shared > 0) AS chords, (SELECT count(*) FROM z) AS labels",
 }
+
+
+def _with(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+_FIRST_MAP = f"MAP({_list(_firsts)}, {_list(_firsts.values())})"
+_HE, _SHE = _list(text.MASCULINE), _list(text.FEMININE)
+
+
+def _spelt_names(c: str) -> str:
+    """Abbreviated first names spelt out, as one expression."""
+    bare = "list_transform(fw, lambda t: regexp_replace(lower(t), '\\.+$', ''))"
+    francis = f"CASE WHEN list_has_any({bare}, {_HE}) AND NOT list_has_any({bare}, {_SHE}) THEN 'Francis' WHEN list_has_any({bare}, {_SHE}) AND NOT list_has_any({bare}, {_HE}) THEN 'Frances' END"
+    full = f"array_to_string(list_transform(fw, lambda t: coalesce(CASE WHEN lower(t) IN ('fran.', 'fran') THEN fr END, {_FIRST_MAP}[lower(t)], t)), ' ')"
+    return _with(_words(c), "fw", _with(francis, "fr", full))
+
+
+def _normal(c: str) -> str:
+    """The whole normalisation as one expression."""
+    c = _squeezed(_chain(f"replace(replace(translate({c}, ',;', '  '), '[?]', ''), ' & ', ' and ')", _SPACING))
+    c = _peerage(_chain(_from(_periods, _from(_titles, _spelt(c))), _HONORIFICS))
+    c = f"regexp_replace(regexp_replace(regexp_replace({_spelt_names(c)}, '^The\\s+', '', 'i'), '{_COPIES}', '', 'gi'), '\\s+(?:\\d+\\s+)?(?:of\\s+)?(?:ditto|do\\.?)\\s*$', '', 'i')"
+    c = f"regexp_replace({_chain(c, [('[-–—]{2,}', '----', 'g'), ('(----)([A-Za-z])', r'\1 \2', 'g'), *_INITIALS])}, ':+$', '')"
+    last = "string_split_regex(ny, '\\s+')[-1]"
+    short = f"CASE WHEN suffix(ny, '.') AND NOT list_contains({_list(text.ABBREVIATIONS)}, regexp_replace({last}, '\\.+$', '')) AND NOT (length({last}) <= 4 AND regexp_matches({last}, '[A-Za-z]\\.')) THEN substr(ny, 1, length(ny) - 1) ELSE ny END"
+    return _squeezed(f"regexp_replace(regexp_replace({_with(c, 'ny', short)}, '\\.\\s*\\.', '.', 'g'), '\\b({'|'.join(text.WHOLE_WORDS)})\\.\\s', '\\1 ', 'gi')")
+
+
+def _ended(c: str) -> str:
+    return f"regexp_replace({c}, '[.,;: ]+$', '')"
+
+
+def _sql(pattern: str) -> str:
+    """A pattern of the parser for the other engine, which has no flag for Unicode classes and quotes signs otherwise."""
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''")
+
+
+_TAIL, _PLACE = _sql(parse.COPY_TAIL), parse._PLACE
+_SPELL_MAP = "MAP(['wundham', 'wyndham', 'new town'], ['Wyndham', 'Windham', 'Newtown'])"
+
+
+def _corrected(c: str) -> str:
+    return f"array_to_string(list_transform({_words(c)}, lambda w: coalesce({_SPELL_MAP}[lower(w)], w)), ' ')"
+
+
+def _location(c: str) -> str:
+    """The place that a listed name has after "of" or after a postnominal."""
+    word = "regexp_replace(lower(string_split(trim(op[i - 1]), ' ')[-1]), '\\.+$', '')"
+    skip = f"trim(op[i - 1]) = '' OR trim(op[i]) = '' OR list_contains({_list(parse.BEFORE_OF)}, {word}) OR starts_with(lower(trim(op[i])), 'the ') OR starts_with(lower(trim(op[i])), 'ditto')"
+    after = f"list_filter(list_transform(range(2, len(op) + 1), lambda i: CASE WHEN NOT ({skip}) THEN {_ended(f"trim(regexp_replace(trim(op[i]), '{_TAIL}', ''))")} END), lambda x: x <> '')[1]"
+    cut = _ended(f"trim(regexp_replace(sg[k], '{_TAIL}', ''))")
+    others_ = f"list_filter(list_transform(sg[k + 1:len(sg)], lambda q: {_ended('q')}), lambda q: q <> '')[1]"
+    within = f"regexp_extract({cut}, '{parse._AFTER_POST}', 1)"
+    across = f"CASE WHEN regexp_matches({cut}, '(?i)^(?:esq|bart|jun|sen)\\.*$') THEN regexp_extract(coalesce({others_}, ''), '^({_PLACE})$', 1) ELSE '' END"
+    fit = lambda x: f"CASE WHEN {x} <> '' AND NOT list_contains({_list(parse.NO_PLACES)}, lower({x})) THEN {x} END"
+    post = f"list_filter(list_transform(range(1, len(sg) + 1), lambda k: coalesce({fit(within)}, {fit(across)})), lambda x: x IS NOT NULL)[1]"
+    found = _with(f"string_split_regex({_squeezed(f"translate({c}, ',;', '  ')")}, '(?i)\\bof\\b')", "op", after)
+    found_post = _with(f"list_transform(string_split_regex({c}, '[,;]'), lambda s: trim(s))", "sg", post)
+    return _corrected(f"coalesce({found}, {found_post}, '')")
+
+
+def _segment(c: str) -> str:
+    """{t: type, v: value} of a segment after the name."""
+    bare = f"list_transform({_words('sx')}, lambda w: regexp_replace(lower(w), '\\.+$', ''))"
+    aff = _sql(parse.AFFILIATION)
+    of = lambda t, v="sx": f"{{'t': '{t}', 'v': {v}}}"
+    return _with(_ended(f"trim({c})"), "sx", f"""CASE WHEN sx = '' THEN {of("", "''")} WHEN regexp_matches(sx, '(?i)^(?:\\d+\\s+)?(?:ditto|do\\.?)$') THEN {of("ditto", "'ditto'")}
+      WHEN regexp_matches(sx, '{_sql(parse.COPY_COUNT)}') THEN {of("note")} WHEN regexp_matches(sx, '{aff}') THEN {of("affiliation", f"regexp_extract(sx, '{aff}', 0)")}
+      WHEN len(list_filter({bare}, lambda w: NOT list_contains({_list(parse.NO_PLACES)}, w))) = 0 THEN CASE WHEN list_has_any({bare}, ['esq', 'bart', 'jun', 'sen']) THEN {of("postnominal")} ELSE {of("note")} END
+      WHEN len(list_filter({_words("sx")}, lambda w: NOT regexp_matches(w, '^[A-Z]{{1,2}}\\.*$'))) = 0 THEN {of("postnominal")}
+      WHEN list_has_any({bare}, ['bookseller', 'printer', 'attorney']) THEN {of("occupation")}
+      WHEN len(list_filter({_words("sx")}, lambda w: NOT regexp_matches(w, '^\\p{{Lu}}'))) = 0 THEN {of("location", _corrected("sx"))} ELSE {of("note")} END""")
+
+
+_LEAD = f"^((?:(?:{_any(parse.LEADING_PAIRS)}|{_any(parse.LEADING)})(?:\\s+|$))*)"
+_ANYWHERE = f"""{{'post': replace(array_to_string(list_transform(regexp_extract_all(pw, ' (?:{_WIDE_POST}) ', 0, 'i'), lambda p: trim(p)), ' '), '  ', ' '), 'rest': {_squeezed(f"regexp_replace(pw, ' (?:{_WIDE_POST}) ', '', 'gi')")}}}"""
+
+
+def _anywhere(c: str) -> str:
+    return _with(f"concat(' ', replace({_squeezed(c)}, ' ', '  '), ' ')", "pw", _ANYWHERE)
+
+
+def _without(name: str, place: str) -> str:
+    return f"""CASE WHEN {place} = '' OR {name} = '' THEN {name} ELSE {_with(_words(name), "wn", _with(_words(place), "wp", "CASE WHEN lower(array_to_string(wn[greatest(1, len(wn) - len(wp) + 1):len(wn)], ' ')) = lower(array_to_string(wp, ' ')) THEN array_to_string(wn[1:len(wn) - len(wp)], ' ') ELSE array_to_string(wn, ' ') END"))} END"""
+
+
+def _filled(*values: str) -> str:
+    return "CASE " + " ".join(f"WHEN {v} <> '' THEN {v}" for v in values) + " ELSE '' END"
+
+
+def _typed(column: str, *kinds: str) -> str:
+    return f"list_transform(list_filter({column}, lambda s: s.t IN ({', '.join(repr(k) for k in kinds)})), lambda s: s.v)"
+
+
+_EMBEDDED, _OFFICE, _POSITIONAL = _sql(parse._EMBEDDED), _sql(parse._OFFICE), _sql(parse._POSITIONAL)
+_SON = "(?i)the\\s+son\\s+of\\s+(.+?)(?:,|$)"
+_NOTES_OF = f"""array_to_string(list_filter([trim(regexp_extract(raw, '{_sql(parse.COPY_COUNT)}', 1)), CASE WHEN regexp_matches(raw, '(?i)\\bditto\\b') THEN 'ditto' ELSE '' END,
+  CASE WHEN regexp_matches(raw, '(?i)\\bregiment\\b') THEN regexp_extract(raw, '(?i)(\\d+\\w*\\s+regiment\\b)', 1) ELSE '' END,
+  CASE WHEN contains(lower(raw), 'the son of') AND regexp_extract(raw, '{_SON}', 1) <> '' THEN concat('son of ', regexp_replace(trim(regexp_extract(raw, '{_SON}', 1)), '[.,;]+$', '')) ELSE '' END,
+  trim(regexp_extract(raw, '(?i)\\bof the (?:Royal Navy|Inner Temple|Middle Temple)\\b', 0))], lambda p: p <> ''), '; ')"""
+_SPLIT = """CASE WHEN regexp_extract({0}, '^((?:(?:[A-Z]\\.|----)(?:\\s+|$))+)', 1) <> '' THEN {{'first': trim(regexp_extract({0}, '^((?:(?:[A-Z]\\.|----)(?:\\s+|$))+)', 1)), 'last': substr({0}, length(regexp_extract({0}, '^((?:(?:[A-Z]\\.|----)(?:\\s+|$))+)', 1)) + 1)}}
+  WHEN regexp_matches({0}, '\\s') THEN {{'first': regexp_extract({0}, '^(\\S*)', 1), 'last': regexp_extract({0}, '^\\S*\\s+(.*)$', 1)}} ELSE {{'first': '', 'last': {0}}} END"""
+_COLUMNS = ("name_type", "title_key", "parsed_title", "parsed_first", "parsed_last", "parsed_postnominals", "parsed_occupation", "parsed_affiliation", "parsed_location", "parsed_notes")
+
+
+def _row(*values: str) -> str:
+    return "{" + ", ".join(f"'{c}': {v}" for c, v in zip(_COLUMNS, values, strict=True)) + "}"
+
+
+_E = "''"
+PARSE = N + f""", p0 AS MATERIALIZED (SELECT row_ord, listed_as AS raw, trim({_normal("listed_as")}) AS nm, row_ord % 4 = 0 AS backwards FROM n),
+p1 AS MATERIALIZED (SELECT *, list_filter(list_transform(string_split_regex(raw, '[,;]'), lambda s: trim(s)), lambda s: s <> '') AS segs FROM p0),
+p2 AS MATERIALIZED (SELECT *, {_normal("coalesce(segs[1], raw)")} AS core0, {_NOTES_OF} AS notes, {_location("raw")} AS anyplace FROM p1),
+p3 AS MATERIALIZED (SELECT *, len(segs) > 1 AND core0 <> '' AS cored FROM p2),
+p4 AS MATERIALIZED (SELECT *, CASE WHEN cored THEN core0 ELSE nm END AS core, CASE WHEN cored THEN segs[1] ELSE raw END AS coreraw, CASE WHEN cored THEN segs[2:len(segs)] ELSE [] END AS tail_ FROM p3),
+p5 AS MATERIALIZED (SELECT *, trim(regexp_extract(core, '{_LEAD}', 1, 'i')) AS fl_title, substr(core, length(regexp_extract(core, '{_LEAD}', 1, 'i')) + 1) AS fl_rest FROM p4),
+p6 AS MATERIALIZED (SELECT *, regexp_replace(fl_rest, '^the\\s+', '', 'i') AS rest, {_location("coreraw")} AS place_a, {_location("core")} AS place_b FROM p5),
+p7 AS MATERIALIZED (SELECT *, regexp_matches(rest, '{_POSITIONAL}') OR regexp_matches(rest, '{parse._BARE_LORD}') OR list_contains({_list(parse.TRIGGERS)}, regexp_replace(lower(coalesce({_words("rest")}[1], '')), '\\.+$', '')) AS ranked, {_filled("place_a", "place_b")} AS place FROM p6),
+p8 AS MATERIALIZED (SELECT *, array_to_string(list_filter({_words(_without("fl_rest", "place"))}, lambda t: lower(t) <> 'of'), ' ') AS bare FROM p7),
+p9 AS MATERIALIZED (SELECT *, regexp_extract(bare, '((?:(?:^|\\s+)(?:{_POST}))+)$', 1, 'i') AS tp FROM p8),
+pa AS MATERIALIZED (SELECT *, CASE WHEN trim(tp) <> '' THEN {{'post': trim(tp), 'rest': trim(substr(bare, 1, length(bare) - length(tp)))}} ELSE {_anywhere("trim(substr(bare, 1, length(bare) - length(tp)))")} END AS e FROM p9),
+pb AS MATERIALIZED (SELECT *, regexp_extract(e.rest, '{_EMBEDDED}', 0) AS emb, regexp_extract(e.rest, '{_OFFICE}', 0) AS off_ FROM pa),
+pc AS MATERIALIZED (SELECT *, {_filled("emb", "off_")} AS office, CASE WHEN emb <> '' THEN regexp_replace(e.rest, '{_EMBEDDED}', '') ELSE regexp_extract(e.rest, '(?i)^(.*?){_OFFICE[4:]}', 1) END AS before FROM pb),
+pd AS MATERIALIZED (SELECT *, CASE WHEN office <> '' THEN trim(before) ELSE e.rest END AS own FROM pc),
+pe AS MATERIALIZED (SELECT *, {_SPLIT.format("own")} AS nms, list_transform(tail_, lambda s: {_segment("s")}) AS typed FROM pd),
+pf AS MATERIALIZED (SELECT *, CASE WHEN ranked THEN {_row("'titled'", "lower(rest)", "concat_ws(' ', CASE WHEN fl_title <> '' THEN fl_title END, rest)", _E, _E, _E, _E, _E, _E, "notes")}
+  ELSE {_row("CASE WHEN fl_title <> '' THEN 'personal' ELSE 'bare' END", _E, "fl_title", "nms.first", "nms.last", _filled("e.post", f"array_to_string({_typed('typed', 'postnominal')}, ' ')"),
+    f"coalesce({_typed('typed', 'occupation')}[1], '')", f"coalesce({_typed('typed', 'affiliation')}[1], '')", _filled("place", f"array_to_string({_typed('typed', 'location', 'ditto')}, ', ')", "anyplace"),
+    "array_to_string(list_filter([office, notes], lambda x: x <> ''), '; ')")} END AS fl FROM pe),
+pg AS MATERIALIZED (SELECT *, coalesce({_words("core0")}[1], '') AS sur FROM pf),
+ph AS MATERIALIZED (SELECT *, substr(core0, length(sur) + 2) AS lrest FROM pg),
+pi_ AS MATERIALIZED (SELECT *, trim(regexp_extract(lrest, '{_LEAD}', 1, 'i')) AS lf_title, substr(lrest, length(regexp_extract(lrest, '{_LEAD}', 1, 'i')) + 1) AS lf_rest FROM ph),
+pj AS MATERIALIZED (SELECT *, trim(substr(lf_rest, 1, length(lf_rest) - length(regexp_extract(lf_rest, '((?:(?:^|\\s+)(?:{_POST}))+)$', 1, 'i')))) AS given FROM pi_),
+pk AS MATERIALIZED (SELECT *, lf_title = '' AND given = '' AND len({_words("core0")}) = 1 AND len(segs) > 1 AS alone, {_normal("coalesce(segs[2], '')")} AS nx FROM pj),
+pl AS MATERIALIZED (SELECT *, trim(regexp_extract(nx, '{_LEAD}', 1, 'i')) AS nx_title, substr(nx, length(regexp_extract(nx, '{_LEAD}', 1, 'i')) + 1) AS nx_rest FROM pk),
+pm AS MATERIALIZED (SELECT *, {_words("nx_rest")} AS nw FROM pl),
+pn AS MATERIALIZED (SELECT *, coalesce(list_filter(range(0, len(nw)), lambda i: list_contains(['esq', 'bart', 'jun', 'sen', 'bookseller', 'printer', 'attorney'], regexp_replace(lower(nw[i + 1]), '\\.+$', '')))[1], len(nw)) AS stop FROM pm),
+po AS MATERIALIZED (SELECT *, array_to_string(nw[1:stop], ' ') AS go_given, array_to_string(nw[stop + 1:len(nw)], ' ') AS go_left, regexp_extract(coalesce(segs[3], ''), '^((?:[A-Z]\\.(?:\\s+|$))+)', 1) AS peeled, regexp_extract(nx_rest, '^((?:[A-Z]\\.(?:\\s+|$))+)', 1) AS ini FROM pn),
+pq AS MATERIALIZED (SELECT *, go_left = '' AND go_given = '' AND peeled <> '' AS only_title, substr(coalesce(segs[3], ''), length(peeled) + 1) AS third FROM po),
+pr AS MATERIALIZED (SELECT *, CASE WHEN alone AND nx_title <> '' THEN {{'title': nx_title, 'given': CASE WHEN only_title THEN trim(peeled) ELSE go_given END,
+    'tail': CASE WHEN only_title THEN list_concat(CASE WHEN third <> '' THEN [third] ELSE [] END, segs[4:len(segs)]) ELSE list_concat(CASE WHEN go_left <> '' THEN [go_left] ELSE [] END, segs[3:len(segs)]) END}}
+  WHEN alone AND ini <> '' THEN {{'title': '', 'given': trim(ini), 'tail': list_concat(CASE WHEN substr(nx_rest, length(ini) + 1) <> '' THEN [substr(nx_rest, length(ini) + 1)] ELSE [] END, segs[3:len(segs)])}}
+  ELSE {{'title': lf_title, 'given': given, 'tail': segs[2:len(segs)]}} END AS lst FROM pq),
+ps AS MATERIALIZED (SELECT *, list_transform(lst.tail, lambda s: {_segment("s")}) AS lt, regexp_extract(raw, '{_SON}', 1) AS son FROM pr),
+pt AS MATERIALIZED (SELECT *, CASE WHEN core0 = '' THEN fl ELSE {_row("CASE WHEN lst.title <> '' THEN 'personal' ELSE 'bare' END", _E, "lst.title", "lst.given", "sur", f"{_anywhere('nm')}.post", f"coalesce({_typed('lt', 'occupation')}[1], '')",
+    f"coalesce({_typed('lt', 'affiliation')}[1], '')", _filled(f"array_to_string({_typed('lt', 'location', 'ditto')}, ', ')", "anyplace"),
+    f"array_to_string(list_concat({_typed('lt', 'note')}, CASE WHEN son <> '' THEN [concat('son of ', regexp_replace(trim(son), '[.,;]+$', ''))] ELSE [] END), '; ')")} END AS lf FROM ps),
+pu AS MATERIALIZED (SELECT row_ord, CASE WHEN nm = '' THEN {_row("'bare'", *[_E] * 9)} WHEN regexp_matches(nm, '(?i)^a\\s+(?:young\\s+)?(?:gentleman|lady)$') THEN {_row("'anonymous'", *[_E] * 8, "notes")}
+  WHEN regexp_matches(nm, '{_POSITIONAL}') THEN {_row("'titled'", f"lower(concat_ws(' of ', regexp_extract(nm, '{_POSITIONAL}', 1), regexp_extract(nm, '{_POSITIONAL}', 2)))", f"concat_ws(' of ', regexp_extract(nm, '{_POSITIONAL}', 1), regexp_extract(nm, '{_POSITIONAL}', 2))", *[_E] * 6, "notes")}
+  WHEN regexp_matches(nm, '{parse._BARE_LORD}') THEN {_row("'titled'", f"lower(concat_ws(' ', regexp_extract(nm, '{parse._BARE_LORD}', 1), regexp_extract(nm, '{parse._BARE_LORD}', 2)))", f"concat_ws(' ', regexp_extract(nm, '{parse._BARE_LORD}', 1), regexp_extract(nm, '{parse._BARE_LORD}', 2))", *[_E] * 6, "notes")}
+  WHEN backwards THEN lf ELSE fl END AS r FROM pt)"""
+
+SQL |= {
+    "location_extract": N + f" SELECT row_ord, {_location('listed_as')} AS location FROM n",
+    "parse_full": PARSE + " SELECT row_ord, " + ", ".join(f"r.{c}" for c in _COLUMNS) + " FROM pu",
+    "name_type_tally": PARSE + " SELECT r.name_type, count(*) AS names FROM pu GROUP BY 1",
+}
