@@ -1,10 +1,11 @@
 """Personal entries matched within and across books.
 
 Which pairs of entries match, and by what rule, is told by joins on blocks of
-last names and Column expressions. Only the order-dependent part, in which
-entries are taken by clusters one after another, runs as a kernel: on the
-entries of blocks that matching entries tie together, which are independent of
-all others. Blocks without a matching pair do not get there.
+last names and Column expressions; so are links of single entries. Only what
+depends on an order runs as a kernel, each on its own small part: clusters
+within one block, merges of accepted groups that match one another, and clusters
+of near names in the entries that are left, on blocks that matching entries tie
+together. Blocks without a matching pair do not get there.
 """
 
 from __future__ import annotations
@@ -78,10 +79,7 @@ class _Greedy:
 
     def __init__(self, entries: pd.DataFrame, pairs: pd.DataFrame):
         self.rows = entries.set_index("row_ord").to_dict("index")
-        self.rules = {(a, b): (rule, first) for a, b, rule, first in pairs.itertuples(index=False)}
-        self.matched: set[int] = set()
-        self.candidates: set[int] = set()
-        self.out: list[tuple] = []
+        self.rules = dict(zip(zip(pairs.a, pairs.b, strict=True), pairs.rule, strict=True))
 
     def _sign(self, row: int) -> tuple:
         r = self.rows[row]
@@ -114,103 +112,82 @@ class _Greedy:
                     continue
                 cluster.append(row)
                 signs.add(self._sign(row))
-                rule = rule or self.rules[seed, row][0]
+                rule = rule or self.rules[seed, row]
             if len(cluster) > 1:
                 used.update(cluster)
                 yield cluster, rule
 
-    def emit(self, scope: int, place: int, keys: tuple, rows, match: str, rule: str, tiers) -> None:
-        keys = (*keys, 0, 0, 0, 0)[:5]
-        for seq, row in enumerate(rows):
-            tier = tiers if isinstance(tiers, str) else tiers(row)
-            self.out.append((scope, place, *keys, seq, match, row, rule, tier))
 
-    def frame(self) -> pd.DataFrame:
+def exact_clusters(entries: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """K1, K6, K8: star clusters of the rows of each block, as rows (keys, block, seed, seq, row_ord, rule).
+
+    Only blocks in which two entries match are looked at, each on its own.
+    """
+    by = [*keys, "block"]
+    place = entries.select("row_ord", *by)
+    same = pairs.join(place.withColumnRenamed("row_ord", "a"), "a").join(place.select(F.col("row_ord").alias("b"), F.col("block").alias("other")), "b")
+    same = saved(same.where("block = other").select(*by, "a", "b", "rule"), "match-same")
+    some = entries.join(same.select(*by).distinct(), by, "left_semi")
+    columns = [*by, "seed", "seq", "row_ord", "rule"]
+
+    def run(key, rows: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
         import pandas as pd  # on executors only; a driver without it is smaller
 
-        return pd.DataFrame(self.out, columns=[c.split()[0] for c in _OUT.split(", ")])
+        pool = _Greedy(rows, facts)
+        return pd.DataFrame([(*key, c[0], k, row, rule) for c, rule in pool.clusters(sorted(pool.rows)) for k, row in enumerate(c)], columns=columns)
 
+    schema = ", ".join(f"{k} {entries.schema[k].dataType.simpleString()}" for k in by) + ", seed long, seq long, row_ord long, rule string"
+    return some.groupBy(*by).cogroup(same.groupBy(*by)).applyInPandas(run, schema)
 
-def _blocks(pool: _Greedy, rows) -> dict[str, list[int]]:
-    """Rows by block, blocks in the order of their first row."""
-    out = defaultdict(list)
-    for row in sorted(rows):
-        out[pool.rows[row]["block"]].append(row)
-    return out
 
+def _renamed(rule: Column, distance: Column) -> Column:
+    return F.concat(F.lit("fuzzy_last_"), distance.cast("string"), F.lit("+"), F.regexp_replace(rule, r"^[^+]*\+", ""))
+
+
+def _sure(distance: Column, first: Column) -> Column:
+    return (distance <= SURE_DISTANCE) & (first == "exact")
+
+
+def _both_ways(names: DataFrame) -> DataFrame:
+    return names.select("a", "b", "distance").union(names.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+
+
+def single_links(entries: DataFrame, clustered: DataFrame, seeds: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """For each entry without a cluster the first accepted group of a near last name whose seed it matches.
+
+    Rows (row_ord, seed, rule, sure): groups stand in the order of their blocks'
+    first rows and of their seeds.
+    """
+    single = entries.where("not initials").join(clustered.select("row_ord"), "row_ord", "left_anti").select(F.col("row_ord").alias("a"), "block")
+    at = seeds.select(F.col("seed").alias("b"), F.col("block").alias("to"), "first_row")
+    near = _both_ways(names).select(F.col("a").alias("block"), F.col("b").alias("to"), "distance")
+    met = pairs.join(single, "a").join(at, "b").join(near, ["block", "to"])
+    best = met.groupBy("a").agg(F.min_by(F.struct("b", "rule", "first", "distance"), F.struct("first_row", "b")).alias("x"))
+    return best.select(F.col("a").alias("row_ord"), F.col("x.b").alias("seed"), _renamed(F.col("x.rule"), F.col("x.distance")).alias("rule"), _sure(F.col("x.distance"), F.col("x.first")).alias("sure"))
+
+
+def _merge(seeds: pd.DataFrame, facts: pd.DataFrame) -> list[tuple]:
+    """Groups of near last names united in order; (seed, other, rule) with its root, or with a group that it may belong to."""
+    rows = {r.seed: r for r in seeds.sort_values(["first_row", "seed"]).itertuples()}
+    leads = defaultdict(list)
+    for seed, r in rows.items():
+        leads[r.block].append(seed)
+    told = facts[facts.kind == 1]
+    distance = {(x, y): d for x, y, d in zip(told.x, told.y, told.distance, strict=True)}
+    said = facts[facts.kind == 0]
+    rules = {(a, b): (rule, first) for a, b, rule, first in zip(said.a, said.b, said.rule, said["first"], strict=True)}
+    into: dict[int, int] = {}
+    sizes = {seed: r.members for seed, r in rows.items()}
+    out, tested = [], set()
+
+    def root(seed: int) -> int:
+        while seed in into:
+            seed = into[seed]
+        return seed
 
-def _star_groups(blocks: dict[str, list[int]], near: dict[str, set[str]]):
-    """K3: each last name with the later ones that are near, once for each set of names."""
-    names, seen = list(blocks), set()
-    place = {name: k for k, name in enumerate(names)}
-    for name in names:
-        later = sorted((x for x in near.get(name, ()) if x in place and place[x] > place[name]), key=place.__getitem__)
-        group = tuple(sorted((name, *later)))
-        if later and group not in seen:
-            seen.add(group)
-            yield name, [row for x in (name, *later) for row in blocks[x]]
-
-
-def _within(pool: _Greedy, book_ord: int, distance: dict[tuple[str, str], int], near_raw: dict[str, set[str]]) -> None:
-    """Phases within a book: exact blocks, links of single entries, merges, speculative groups (K5-K7, K4)."""
-    blocks = _blocks(pool, pool.rows)
-    groups: dict[tuple, list[int]] = {}  # accepted groups in the order in which they are made
-    rules: dict[tuple, str] = {}
-    for phase, initials in ((1, True), (2, False)):
-        for rows in blocks.values():
-            if pool.rows[rows[0]]["initials"] != initials or len(rows) < 2:
-                continue
-            for cluster, rule in pool.clusters(rows):
-                key = (phase, rows[0], cluster[0])
-                unsure = "fuzzy_first" in rule and not any(f"+{x}" in rule for x in ("title", "loc", "post"))
-                if unsure:
-                    pool.emit(0, book_ord, key, cluster, "", rule, "candidate_within")
-                    pool.candidates.update(cluster)
-                else:
-                    groups[key], rules[key] = cluster, rule
-                    pool.matched.update(cluster)
-    leads = defaultdict(list)  # last name: accepted groups
-    for key, cluster in groups.items():
-        if not pool.rows[cluster[0]]["initials"]:
-            leads[pool.rows[cluster[0]]["block"]].append(key)
-    tier = {row: "auto_within" for cluster in groups.values() for row in cluster}
-    own_rule: dict[int, str] = {}
-    members = {key: list(cluster) for key, cluster in groups.items()}
-
-    def apart(x: str, y: str) -> int | None:
-        return distance.get((min(x, y), max(x, y))) if x != y else None
-
-    def renamed(rule: str, d: int) -> str:
-        return f"fuzzy_last_{d}+" + rule.split("+", 1)[-1]
-
-    for row in sorted(r for r in pool.rows if r not in pool.matched | pool.candidates and not pool.rows[r]["initials"]):
-        mine = pool.rows[row]["block"]
-        for name, keys in leads.items():
-            d = apart(mine, name)
-            hit = None if d is None else next((k for k in keys if (row, groups[k][0]) in pool.rules), None)
-            if hit is None:
-                continue
-            rule, first = pool.rules[row, groups[hit][0]]
-            if d <= SURE_DISTANCE and first == "exact":
-                members[hit].append(row)
-                tier[row], own_rule[row] = "auto_within_linkage", renamed(rule, d)
-                pool.matched.add(row)
-            else:
-                pool.emit(0, book_ord, hit, [row], "", renamed(rule, d), "candidate_within_linkage")
-                pool.candidates.add(row)
-            break
-    into: dict[tuple, tuple] = {}
-
-    def root(key: tuple) -> tuple:
-        while key in into:
-            key = into[key]
-        return key
-
-    sizes = {key: len(rows) for key, rows in members.items()}
-    tested = set()
     for x, left in leads.items():
         for y, right in leads.items():
-            d = apart(x, y) if x < y else None
+            d = distance.get((x, y)) if x < y else None
             if d is None:
                 continue
             for a in left:
@@ -221,7 +198,7 @@ def _within(pool: _Greedy, book_ord: int, distance: dict[tuple[str, str], int],
                     if ra == rb or pair in tested:
                         continue
                     tested.add(pair)
-                    found = pool.rules.get((groups[a][0], groups[b][0]))
+                    found = rules.get((a, b))
                     if not found:
                         continue
                     rule, first = found
@@ -230,36 +207,93 @@ def _within(pool: _Greedy, book_ord: int, distance: dict[tuple[str, str], int],
                         into[gone] = keep
                         sizes[keep] += sizes[gone]
                     else:
-                        pool.emit(0, book_ord, (5, blocks[x][0], blocks[y][0], a[2], b[2]), [groups[a][0], groups[b][0]], "", renamed(rule, d), "candidate_cluster_merge")
-                        pool.candidates.update((groups[a][0], groups[b][0]))
-    for key, rows in members.items():
-        for row in rows:
-            rule = own_rule.get(row, rules[key]) + ("+cluster_merge" if root(key) != key else "")
-            pool.emit(0, book_ord, root(key), [row], "y", rule, tier[row])
-    lasts = {name: rows for name, rows in blocks.items() if not pool.rows[rows[0]]["initials"]}
-    for name, rows in _star_groups(lasts, near_raw):
-        free = [r for r in rows if r not in pool.matched and r not in pool.candidates]
-        for cluster, rule in pool.clusters(free):
-            if len({pool.rows[r]["block"] for r in cluster}) > 1:
-                pool.emit(0, book_ord, (6, lasts[name][0], cluster[0]), cluster, "", rule, "candidate_within")
-                pool.candidates.update(cluster)
-
-
-def _across(pool: _Greedy, near_raw: dict[str, set[str]]) -> None:
-    """Phases across books: exact last names, then near ones (K8, K9)."""
-    blocks = _blocks(pool, pool.rows)
-    matched = {row for row, r in pool.rows.items() if r["matched"]}
-    exact = ((7, name, rows) for name, rows in blocks.items())
-    fuzzy = ((8, name, rows) for name, rows in _star_groups(blocks, near_raw))
-    for phase, name, rows in (*exact, *fuzzy):
-        free = [r for r in rows if r not in pool.candidates]
-        if len({pool.rows[r]["book"] for r in free}) < 2:
-            continue
-        for cluster, rule in pool.clusters(free):
-            if len({pool.rows[r]["book"] for r in cluster}) < 2 or (phase == 8 and len({pool.rows[r]["block"] for r in cluster}) < 2):
+                        out.append((a, b, f"fuzzy_last_{d}+" + rule.split("+", 1)[-1]))
+    return out + [(seed, root(seed), "") for seed in rows]
+
+
+def merged_groups(seeds: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows (seed, other, rule): the root of each seed that has another one, with an empty rule, and doubtful pairs of seeds.
+
+    ``seeds`` has (book_ord, seed, block, first_row, members). Seeds that match
+    others hang together in small parts; each is a task's work.
+    """
+    side = lambda s: seeds.select(F.col("seed").alias(s), F.col("block").alias("x" if s == "a" else "y"), *(["book_ord"] if s == "a" else []))
+    found = pairs.join(side("a"), "a").join(side("b"), "b").where("x < y").join(names.select(F.col("a").alias("x"), F.col("b").alias("y"), "distance"), ["x", "y"])
+    found = saved(found.select("book_ord", "a", "b", "x", "y", "rule", "first", "distance"), "match-merges")
+    parts = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "match-merge-parts")
+    at = saved(seeds.join(parts.select(F.col("node").alias("seed"), F.col("component").alias("part")), "seed"), "match-merge-seeds")
+    blocks = at.select("part", "block").distinct()
+    near = blocks.withColumnRenamed("block", "x").join(names.select(F.col("a").alias("x"), F.col("b").alias("y"), "distance"), "x").join(blocks.withColumnRenamed("block", "y"), ["part", "y"])
+    none = F.lit(None)
+    facts = found.join(at.select(F.col("seed").alias("a"), "part"), "a").select("part", F.lit(0).alias("kind"), "a", "b", "rule", "first", "x", "y", "distance")
+    facts = facts.union(near.select("part", F.lit(1).alias("kind"), none.cast("long").alias("a"), none.cast("long").alias("b"), F.lit("").alias("rule"), F.lit("").alias("first"), "x", "y", "distance"))
+    facts = saved(facts, "match-merge-facts")
+
+    def run(key, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
+        return pd.DataFrame(_merge(rows, told), columns=["seed", "other", "rule"])
+
+    out = at.groupBy("part").cogroup(facts.groupBy("part")).applyInPandas(run, "seed long, other long, rule string")
+    return saved(out.where("rule <> '' or seed <> other"), "match-merged")
+
+
+def _star_groups(blocks: dict[str, int], near: dict[str, set[str]]):
+    """K3: each last name with the later ones that are near; names stand in the order of their first rows."""
+    names = sorted(blocks, key=blocks.__getitem__)
+    place = {name: k for k, name in enumerate(names)}
+    for name in names:
+        later = sorted((x for x in near.get(name, ()) if x in place and place[x] > place[name]), key=place.__getitem__)
+        if later:
+            yield name, (name, *later)
+
+
+def fuzzy_clusters(entries: DataFrame, pairs: DataFrame, near: DataFrame, keys: list[str], books: int) -> DataFrame:
+    """K7, K9: clusters of free entries of near last names, as rows (keys, first_row, seed, seq, row_ord, rule).
+
+    ``entries`` has all entries with ``free``; a cluster has two last names and
+    ``books`` books or more. A cluster's entries are free no more, but for those
+    that are ``matched``, which is why names are taken in order.
+    """
+    free = entries.where("free")
+    some = pairs.join(free.select(F.col("row_ord").alias("a")), "a").join(free.select(F.col("row_ord").alias("b")), "b").select("a", "b", "rule")
+    some = saved(some, "match-free")
+    grouped = saved(_with_group(entries, some, near, keys), "match-grouped")
+    by = [*keys, "group"]
+    heads = grouped.groupBy(*by, "block").agg(F.min("first_row").alias("first_row"))
+    facts = some.join(grouped.select(F.col("row_ord").alias("a"), *by), "a").select(*by, F.lit(0).alias("kind"), "a", "b", "rule", F.lit("").alias("x"), F.lit("").alias("y"))
+    both = heads.select(*by, F.col("block").alias("x")).join(near.select(F.col("a").alias("x"), F.col("b").alias("y")), "x").join(heads.select(*by, F.col("block").alias("y")), [*by, "y"])
+    names = both.select(*by, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit("").alias("rule"), "x", "y")
+    first = heads.select(*by, F.lit(2).alias("kind"), F.col("first_row").alias("a"), F.lit(0).cast("long").alias("b"), F.lit("").alias("rule"), F.col("block").alias("x"), F.lit("").alias("y"))
+    facts = saved(facts.union(names).union(first), "match-facts")
+    columns = [*keys, "first_row", "seed", "seq", "row_ord", "rule"]
+
+    def run(key, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
+        pool = _Greedy(rows, told[told.kind == 0])
+        heads = told[told.kind == 2]
+        blocks = dict(zip(heads.x, heads.a, strict=True))
+        close = defaultdict(set)
+        for x, y in zip(told[told.kind == 1].x, told[told.kind == 1].y, strict=True):
+            close[x].add(y)
+            close[y].add(x)
+        of_block, taken, out = defaultdict(list), set(), []
+        for row in sorted(pool.rows):
+            of_block[pool.rows[row]["block"]].append(row)
+        spread = lambda rows, field: len({pool.rows[r][field] for r in rows})
+        for name, names in _star_groups(blocks, close):
+            left = [r for x in names for r in of_block[x] if r not in taken]
+            if spread(left, "book") < books:
                 continue
-            pool.emit(1, 0, (phase, blocks[name][0], cluster[0]), cluster, "", rule, lambda row: "anchor_cross" if row in matched else "candidate_cross")
-            pool.candidates.update(r for r in cluster if r not in matched)
+            for cluster, rule in pool.clusters(left):
+                if spread(cluster, "block") > 1 and spread(cluster, "book") >= books:
+                    out += [(*key[:-1], blocks[name], cluster[0], k, row, rule) for k, row in enumerate(cluster)]
+                    taken.update(r for r in cluster if not pool.rows[r]["matched"])
+        return pd.DataFrame(out, columns=columns)
+
+    schema = ", ".join(f"{k} long" for k in keys) + ", " * bool(keys) + "first_row long, seed long, seq long, row_ord long, rule string"
+    return grouped.where("free").groupBy(*by).cogroup(facts.groupBy(*by)).applyInPandas(run, schema)
 
 
 def _with_group(entries: DataFrame, pairs: DataFrame, near: DataFrame, keys: list[str]) -> DataFrame:
@@ -285,29 +319,6 @@ def _with_group(entries: DataFrame, pairs: DataFrame, near: DataFrame, keys: lis
     return at.join(known, "group", "left_semi").drop("node", "component").withColumn("group", F.xxhash64("group"))
 
 
-def _run(entries: DataFrame, pairs: DataFrame, names: DataFrame, keys: list[str], kernel) -> DataFrame:
-    """Cogroup entries, their pairs and near names by ``keys`` and run the kernel on each."""
-    place = entries.select(F.col("row_ord").alias("a"), *keys)
-    edges = pairs.join(place, "a").select(*keys, F.lit(0).alias("kind"), "a", "b", "rule", "first", F.lit("").alias("x"), F.lit("").alias("y"), F.lit(0).alias("distance"), F.lit(False).alias("near"))
-    blocks = entries.select("block", *keys).distinct()
-    near = names.join(blocks.withColumnRenamed("block", "a"), "a").select(*keys, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit("").alias("rule"), F.lit("").alias("first"), F.col("a").alias("x"), F.col("b").alias("y"), F.col("distance"), F.col("near"))
-
-    def run(key, rows: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
-        told = facts[facts.kind == 1]
-        distance = {(x, y): d for x, y, d in zip(told.x, told.y, told.distance, strict=True)}
-        near_raw = defaultdict(set)
-        for x, y, raw in zip(told.x, told.y, told.near, strict=True):
-            if raw:
-                near_raw[x].add(y)
-                near_raw[y].add(x)
-        pool = _Greedy(rows, facts[facts.kind == 0][["a", "b", "rule", "first"]])
-        kernel(pool, rows, distance, near_raw)
-        return pool.frame()
-
-    facts = saved(edges.unionByName(near), "match-facts")
-    return entries.groupBy(*keys).cogroup(facts.groupBy(*keys)).applyInPandas(run, _OUT)
-
-
 def eligible_entries(parsed: DataFrame, title_ids: DataFrame) -> DataFrame:
     """Personal entries that no title group has, with the keys of their blocks."""
     at = parsed.join(title_ids.select("entry_id").distinct(), "entry_id", "left_anti").where(~F.col("name_type").isin("titled", "anonymous"))
@@ -322,25 +333,91 @@ def eligible_entries(parsed: DataFrame, title_ids: DataFrame) -> DataFrame:
     return at.withColumn("book_ord", F.min("row_ord").over(Window.partitionBy("book")))
 
 
+def _rows(df: DataFrame, scope: int, place, keys: list, seq, match: str, rule, tier) -> DataFrame:
+    """Rows of the result; ``keys`` tell groups apart and in which order they are numbered."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    keys = [as_column(k).cast("long").alias(f"k{n}") for n, k in enumerate([*keys, 0, 0, 0, 0][:5], 1)]
+    return df.select(F.lit(scope).alias("scope"), as_column(place).cast("long").alias("place"), *keys, as_column(seq).cast("long").alias("seq"), F.lit(match).alias("match"), "row_ord", as_column(rule).alias("match_rule"), as_column(tier).alias("match_tier"))
+
+
+def _within(entries: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Phases within a book: exact blocks, links of single entries, merges, clusters of near names (K6, K5, K4, K7)."""
+    c = F.col
+    heads = entries.select("row_ord", "book_ord", "block", "initials", "first_row")
+    exact = exact_clusters(entries, pairs, ["book_ord"]).join(heads.select("row_ord", "initials", "first_row"), "row_ord")
+    rule = c("rule")
+    unsure = rule.contains("fuzzy_first") & ~(rule.contains("+title") | rule.contains("+loc") | rule.contains("+post"))
+    exact = saved(exact.withColumn("phase", F.when(c("initials"), 1).otherwise(2)).withColumn("unsure", unsure), "match-exact")
+    groups = exact.where("not unsure")
+    seeds = groups.where("seq = 0 and not initials").select("book_ord", "seed", "block", "first_row")
+    links = saved(single_links(entries, exact, seeds, pairs, names), "match-links")
+    sizes = groups.groupBy("seed").agg(F.count(F.lit(1)).alias("own")).join(links.where("sure").groupBy("seed").agg(F.count(F.lit(1)).alias("more")), "seed", "left")
+    seeds = seeds.join(sizes.select("seed", (c("own") + F.coalesce("more", F.lit(0))).alias("members")), "seed")
+    merged = merged_groups(seeds, pairs, names)
+    roots = merged.where("rule = ''").select("seed", c("other").alias("root"))
+    leads = groups.where("seq = 0").select("seed", "phase", "first_row", "book_ord", "rule")
+    at = leads.join(roots, "seed", "left").withColumn("root", F.coalesce("root", "seed"))
+    home = leads.select(c("seed").alias("root"), c("phase").alias("to_phase"), c("first_row").alias("to_first"))
+    at = saved(at.join(home, "root"), "match-roots")  # a row for each accepted group, with the group that it went into
+
+    key = [c("to_phase"), c("to_first"), c("root"), c("first_row"), c("seed")]
+    said = lambda rule: F.concat(rule, F.when(c("root") != c("seed"), "+cluster_merge").otherwise(""))
+    own = groups.select("seed", "row_ord", "seq").join(at, "seed")
+    sure = links.where("sure").select("seed", "row_ord", c("rule").alias("own_rule")).join(at, "seed")
+    doubt = links.where("not sure").select("seed", "row_ord", c("rule").alias("own_rule")).join(at, "seed")
+    pair = merged.where("rule <> ''")
+    ends = [leads.select(c("seed").alias(s), c("first_row").alias(f"first_{s}"), "book_ord") for s in ("seed", "other")]
+    pair = pair.join(ends[0], "seed").join(ends[1].drop("book_ord"), "other")
+    pair = pair.select("book_ord", "rule", "first_seed", "first_other", "seed", "other", F.posexplode(F.array("seed", "other")).alias("seq", "row_ord"))
+    accepted = _rows(own, 0, c("book_ord"), key, c("seq"), "y", said(c("rule")), "auto_within").union(_rows(sure, 0, c("book_ord"), key, 1 << 40, "y", said(c("own_rule")), "auto_within_linkage"))
+    # A group that went into another stands behind it, and a linked entry behind those of its group.
+    order = ["scope", "place", "k1", "k2", "k3"]
+    accepted = accepted.withColumn("seq", F.row_number().over(Window.partitionBy(*order).orderBy("k4", "k5", "seq", "row_ord")).cast("long")).withColumns({k: F.lit(0).cast("long") for k in ("k4", "k5")})
+    waiting = _rows(exact.where("unsure"), 0, c("book_ord"), [c("phase"), c("first_row"), c("seed")], c("seq"), "", c("rule"), "candidate_within")
+    waiting = waiting.union(_rows(doubt, 0, c("book_ord"), [c("phase"), c("first_row"), c("seed")], (1 << 41) + c("row_ord"), "", c("own_rule"), "candidate_within_linkage"))
+    waiting = waiting.union(_rows(pair, 0, c("book_ord"), [F.lit(5), c("first_seed"), c("first_other"), c("seed"), c("other")], c("seq"), "", c("rule"), "candidate_cluster_merge"))
+    settled = saved(accepted.union(waiting), "match-settled")
+    free = entries.where("not initials").join(settled.select("row_ord", F.lit(True).alias("taken")).distinct(), "row_ord", "left")
+    free = free.withColumn("free", c("taken").isNull()).withColumn("matched", F.lit(False)).drop("taken")
+    fuzzy = fuzzy_clusters(free, pairs, names.where("near"), ["book_ord"], 1)
+    return settled.union(_rows(fuzzy, 0, c("book_ord"), [F.lit(6), c("first_row"), c("seed")], c("seq"), "", c("rule"), "candidate_within"))
+
+
+def _across(entries: DataFrame, pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """Phases across books: exact last names, then near ones (K8, K9)."""
+    c = F.col
+    heads = entries.select("row_ord", "first_row", "book", "matched")
+    exact = exact_clusters(entries, pairs, []).join(heads, "row_ord")
+    many = exact.groupBy("seed").agg(F.count_distinct("book").alias("books")).where("books > 1").select("seed")
+    exact = saved(exact.join(many, "seed"), "match-cross-exact")
+    tier = F.when(c("matched"), "anchor_cross").otherwise("candidate_cross")
+    taken = exact.where("not matched").select("row_ord", F.lit(True).alias("taken"))
+    free = entries.join(taken, "row_ord", "left").withColumn("free", c("taken").isNull()).drop("taken")
+    fuzzy = fuzzy_clusters(free, pairs, near, [], 2).join(heads.select("row_ord", "matched"), "row_ord")
+    out = _rows(exact, 1, 0, [F.lit(7), c("first_row"), c("seed")], c("seq"), "", c("rule"), tier)
+    return out.union(_rows(fuzzy, 1, 0, [F.lit(8), c("first_row"), c("seed")], c("seq"), "", c("rule"), tier))
+
+
 def match_components(parsed: DataFrame, title_ids: DataFrame, relaxed: bool = True) -> DataFrame:
     """All component matches: rows (group_id, match, row_ord, entry_id, match_rule, match_tier), accepted where match is y."""
     need = ["entry_id", "row_ord", "book", "edition", "name_type", *FIELDS]
-    entries = saved(eligible_entries(parsed.select(*need), title_ids).where("block is not null"), "match-entries")
+    entries = eligible_entries(parsed.select(*need), title_ids).where("block is not null")
+    entries = saved(entries.withColumn("first_row", F.min("row_ord").over(Window.partitionBy("book", "block"))), "match-entries")
     raw = name_pairs(entries, stripped=False).select("a", "b", F.lit(True).alias("near"))
     names = name_pairs(entries).join(raw, ["a", "b"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
     names = saved(names, "match-names")
-    slim = ["row_ord", "book", "edition", "block", "initials", "sig_title", "sig_first", "sig_last", "sig_post", "book_ord"]
+    slim = ["row_ord", "book", "edition", "block", "initials", "sig_title", "sig_first", "sig_last", "sig_post", "book_ord", "first_row"]
     pairs = saved(matching_pairs(entries, names, "within_book"), "match-pairs")
-    grouped = saved(_with_group(entries, pairs, names.where("near"), ["book_ord"]).select(*slim, "group"), "match-grouped")
-    within = saved(_run(grouped, pairs, names, ["book_ord", "group"], lambda pool, rows, distance, near: _within(pool, int(rows.book_ord.iloc[0]), distance, near)), "match-within")
+    within = saved(_within(entries.select(*slim), pairs, names), "match-within")
 
     doubtful = within.where("match = ''").select("row_ord").distinct()
     sure = within.where("match = 'y'").select("row_ord").distinct().withColumn("matched", F.lit(True))
     able = entries.where(cross_eligible(entries.__getitem__, relaxed) & (F.col("last") != "")).join(doubtful, "row_ord", "left_anti")
+    able = able.withColumn("first_row", F.min("row_ord").over(Window.partitionBy("block")))
+    able = saved(able.join(sure, "row_ord", "left").withColumn("matched", F.coalesce("matched", F.lit(False))), "match-able")
     near = names.where("near")
     pairs = saved(matching_pairs(able, near, "cross_book"), "match-cross-pairs")
-    across_rows = _with_group(able, pairs, near, []).join(sure, "row_ord", "left").select(*slim, "group", F.coalesce("matched", F.lit(False)).alias("matched"))
-    across = _run(saved(across_rows, "match-able"), pairs, near, ["group"], lambda pool, rows, distance, near_raw: _across(pool, near_raw))
+    across = _across(able.select(*slim, "matched"), pairs, near)
     every = saved(within.union(across), "match-rows")
     keys = ["scope", "place", "k1", "k2", "k3", "k4", "k5"]
     numbers = numbered(every.select(*keys).distinct(), keys, "n", "match-numbers")

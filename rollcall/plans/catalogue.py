@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import compat, present, text
@@ -403,6 +403,47 @@ def _matches(spark, sf_dir) -> DataFrame:
     return clusters.match_components(names(spark, sf_dir), none)
 
 
+def _entries(spark, sf_dir):
+    """Entries, their matching pairs within books, and near last names, as the match operators take them."""
+    none = spark.createDataFrame([], "entry_id string")
+    at = clusters.eligible_entries(names(spark, sf_dir), none).where("block is not null")
+    at = saved(at.withColumn("first_row", F.min("row_ord").over(Window.partitionBy("book", "block"))), "entries")
+    near = saved(clusters.name_pairs(at), "entry-names")
+    return at, saved(clusters.matching_pairs(at, near, "within_book"), "entry-pairs"), near
+
+
+@query
+def match_entries(spark, sf_dir):
+    none = names(spark, sf_dir).where("parsed_title = 'Sir'").select("entry_id")  # as if a title run had matched them
+    at = clusters.eligible_entries(names(spark, sf_dir), none)
+    return at.select("row_ord", F.translate("block", "\u0001", "!").alias("block"), "initials", "book_ord")
+
+
+@query
+def last_name_pairs(spark, sf_dir):
+    return clusters.name_pairs(clusters.eligible_entries(names(spark, sf_dir), spark.createDataFrame([], "entry_id string")))
+
+
+@query
+def match_pairs_within(spark, sf_dir):
+    return _entries(spark, sf_dir)[1].select("a", "b", "rule", c("first").alias("said"))
+
+
+@query
+def exact_clusters(spark, sf_dir):
+    at, pairs, _ = _entries(spark, sf_dir)
+    return clusters.exact_clusters(at, pairs, ["book_ord"]).select("seed", "seq", "row_ord", "rule")
+
+
+@query
+def single_links(spark, sf_dir):
+    at, pairs, near = _entries(spark, sf_dir)
+    found = saved(clusters.exact_clusters(at, pairs, ["book_ord"]), "entry-clusters")
+    seeds = found.where("seq = 0 and not (rule like '%fuzzy_first%' and rule not like '%+title%' and rule not like '%+loc%' and rule not like '%+post%')")
+    seeds = seeds.join(at.select("row_ord", "initials", "first_row"), "row_ord").where("not initials").select("seed", "block", "first_row")
+    return clusters.single_links(at, found, seeds, pairs, near)
+
+
 @query
 def component_matches(spark, sf_dir):
     return _matches(spark, sf_dir).select("group_id", "match", "row_ord", "match_rule", "match_tier")

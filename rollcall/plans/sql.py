@@ -557,3 +557,52 @@ SQL |= {
     "parse_full": PARSE + " SELECT row_ord, " + ", ".join(f"r.{c}" for c in _COLUMNS) + " FROM pu",
     "name_type_tally": PARSE + " SELECT r.name_type, count(*) AS names FROM pu GROUP BY 1",
 }
+
+_LONE = "regexp_matches(trim(replace(trim({0}), '.', ' ')), '^\\S(?:\\s+\\S)+$')"
+_BLOCK = f"CASE WHEN trim(parsed_last) <> '' THEN lower(trim(parsed_last)) WHEN {_LONE.format('parsed_first')} THEN concat('!', lower(trim(parsed_first))) END"
+_NEAR_LASTS = f"""lasts AS (SELECT DISTINCT lower(trim(parsed_last)) AS s, regexp_replace(lower(trim(parsed_last)), '{_PREFIX}', '') AS p FROM n WHERE trim(parsed_last) <> ''),
+near AS (SELECT x.s AS a, y.s AS b, CAST(least(levenshtein(x.s, y.s), levenshtein(x.p, y.p)) AS INT) AS distance FROM lasts x JOIN lasts y ON x.s < y.s AND least(levenshtein(x.s, y.s), levenshtein(x.p, y.p)) <= 3)"""
+_MET = PAIRS.replace(
+    "ON a.parsed_last = b.parsed_last AND a.book = b.book AND a.row_ord < b.row_ord WHERE a.parsed_last <> ''",
+    f"""ON a.book = b.book AND a.row_ord <> b.row_ord WHERE (a.parsed_last <> '' AND b.parsed_last <> '' AND least(levenshtein(lower(a.parsed_last), lower(b.parsed_last)),
+      levenshtein(regexp_replace(lower(a.parsed_last), '{_PREFIX}', ''), regexp_replace(lower(b.parsed_last), '{_PREFIX}', ''))) <= 3)
+    OR (a.parsed_last = '' AND b.parsed_last = '' AND {_LONE.format("a.parsed_first")} AND lower(trim(a.parsed_first)) = lower(trim(b.parsed_first)))""",
+)
+_WITHIN = _MET + f""", k AS (SELECT *, regexp_replace(lower(trim(parsed_last)), '{_PREFIX}', '') AS na, regexp_replace(lower(trim(b_last)), '{_PREFIX}', '') AS nb,
+    ta = tb AS same, ta = tb OR (ta IN ('mr.', 'esq.', '') AND tb IN ('mr.', 'esq.', '')) AS alike, ta NOT IN ('mr.', 'esq.', '') AS distinct_ FROM r
+    WHERE edition <> b_edition AND titles_ok AND first_ <> 'conflict' AND loc_ <> 'conflict' AND occ_ <> 'conflict' AND aff_ <> 'conflict'),
+  u AS (SELECT *, na <> nb AND lb <> '' AND la = '' AND na = concat(nb, ' ', lb) AS in_a, na <> nb AND la <> '' AND lb = '' AND nb = concat(na, ' ', la) AS in_b FROM k),
+  v AS (SELECT *, CASE WHEN in_a OR in_b THEN 0 ELSE levenshtein(na, nb) END AS d, in_a OR in_b OR loc_ = 'match' AS placed, length(CASE WHEN in_a THEN nb ELSE na END) AS size FROM u),
+  w AS (SELECT *, (CASE WHEN distinct_ THEN 1.0 ELSE 0 END) + (CASE first_ WHEN 'exact' THEN 1.0 WHEN 'initial' THEN 0.5 ELSE 0 END) + (CASE WHEN placed THEN 1.0 ELSE 0 END)
+    + (CASE WHEN occ_ = 'match' THEN 1.0 ELSE 0 END) + (CASE WHEN aff_ = 'match' THEN 1.0 ELSE 0 END) + (CASE WHEN post_ = 'match' THEN 0.5 ELSE 0 END) AS signals FROM v),
+  x AS (SELECT row_ord AS a, b_row AS b, first_, CASE WHEN parsed_last = '' THEN 'multi_initials'
+    WHEN d = 0 AND ((first_ IN ('exact', 'initial') AND alike) OR (first_ = 'missing' AND same)) THEN concat_ws('+', 'exact_last', concat(first_, '_first'), CASE WHEN placed THEN 'loc' END, CASE WHEN post_ = 'match' THEN 'post' END)
+    WHEN d = 0 AND first_ = 'fuzzy' AND alike THEN concat_ws('+', 'exact_last', 'fuzzy_first', CASE WHEN distinct_ THEN 'title' END, CASE WHEN placed THEN 'loc' END, CASE WHEN post_ = 'match' THEN 'post' END)
+    WHEN signals >= 1 AND d <= (CASE WHEN size <= 4 THEN 0 WHEN size <= 7 THEN 1 ELSE 2 END) + CAST(first_ = 'exact' AS INT)
+    THEN concat_ws('+', CASE WHEN d = 0 THEN 'exact_last' ELSE concat('fuzzy_last_', d) END, concat(first_, '_first'), CASE WHEN placed THEN 'loc' END, CASE WHEN occ_ = 'match' THEN 'occ' END, CASE WHEN aff_ = 'match' THEN 'aff' END, CASE WHEN post_ = 'match' THEN 'post' END) END AS rule FROM w),
+  rules AS MATERIALIZED (SELECT * FROM x WHERE rule IS NOT NULL)"""
+_CLUSTERS = _WITHIN.replace("WITH n", "WITH RECURSIVE n", 1) + f""", e AS MATERIALIZED (SELECT row_ord, book, edition, block, concat_ws('/', st, sf, sl, sp) AS sig, st, sf, sl, sp, row_number() OVER (PARTITION BY book, block ORDER BY row_ord) AS i, min(row_ord) OVER (PARTITION BY book, block) AS first_row
+    FROM (SELECT *, {_BLOCK} AS block, {_PLAIN_TITLE} AS st, lower(trim(parsed_first)) AS sf, lower(trim(parsed_last)) AS sl, lower(trim(parsed_postnominals)) AS sp FROM n) WHERE block IS NOT NULL),
+  apart AS (SELECT a.book, a.block, list(DISTINCT concat(a.sig, '#', b.sig)) AS signs FROM e a JOIN e b ON a.book = b.book AND a.block = b.block AND a.edition = b.edition AND a.st = b.st AND a.sl = b.sl AND a.sl <> ''
+    WHERE a.sig <> b.sig AND ((a.sf = '') <> (b.sf = '') OR a.sp <> b.sp) GROUP BY ALL),
+  seen AS MATERIALIZED (SELECT e.*, coalesce(m.met, []) AS met, coalesce(apart.signs, []) AS apart FROM e LEFT JOIN (SELECT b, list({{'seed': a, 'rule': rule}}) AS met FROM rules GROUP BY b) m ON m.b = e.row_ord LEFT JOIN apart ON apart.book = e.book AND apart.block = e.block),
+  rec AS (SELECT book, block, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(seed BIGINT, rule VARCHAR, members BIGINT[], signs VARCHAR[])[]) AS cs FROM (SELECT DISTINCT book, block FROM e)
+    UNION ALL SELECT book, block, i + 1, CASE WHEN pick IS NULL THEN list_append(cs, {{'seed': row_ord, 'rule': CAST(NULL AS VARCHAR), 'members': [row_ord], 'signs': [sig]}})
+      ELSE list_transform(cs, lambda c: CASE WHEN c.seed = pick.seed THEN {{'seed': c.seed, 'rule': coalesce(c.rule, list_filter(met, lambda x: x.seed = c.seed)[1].rule), 'members': list_append(c.members, row_ord), 'signs': list_append(c.signs, sig)}} ELSE c END) END
+    FROM (SELECT r.book, r.block, r.i, r.cs, s.row_ord, s.sig, s.met, list_filter(r.cs, lambda c: len(list_filter(s.met, lambda x: x.seed = c.seed)) > 0 AND len(list_filter(c.signs, lambda g: list_contains(s.apart, concat(g, '#', s.sig)))) = 0)[1] AS pick
+      FROM rec r JOIN seen s ON s.book = r.book AND s.block = r.block AND s.i = r.i + 1)),
+  final AS MATERIALIZED (SELECT book, block, unnest(cs) AS c FROM (SELECT book, block, arg_max(cs, i) AS cs FROM rec GROUP BY book, block)),
+  found AS MATERIALIZED (SELECT book, block, c.seed AS seed, c.rule AS rule, c.members AS members FROM final WHERE len(c.members) > 1)"""
+
+SQL |= {
+    "match_entries": N + f""", t AS (SELECT row_ord, min(row_ord) OVER (PARTITION BY book) AS book_ord, {_BLOCK} AS block, trim(parsed_last) = '' AND {_LONE.format("parsed_first")} AS initials FROM n WHERE parsed_title <> 'Sir') SELECT row_ord, block, initials, book_ord FROM t""",
+    "last_name_pairs": N + f", {_NEAR_LASTS} SELECT a, b, distance FROM near",
+    "match_pairs_within": _WITHIN + " SELECT a, b, rule, first_ AS said FROM rules",
+    "exact_clusters": _CLUSTERS + " SELECT seed, CAST(generate_subscripts(members, 1) - 1 AS BIGINT) AS seq, unnest(members) AS row_ord, rule FROM found",
+    "single_links": _CLUSTERS + f""", {_NEAR_LASTS}, seeds AS (SELECT f.seed, f.block, e.first_row FROM found f JOIN e ON e.row_ord = f.seed
+      WHERE f.block[1] <> '!' AND NOT (contains(f.rule, 'fuzzy_first') AND NOT (contains(f.rule, '+title') OR contains(f.rule, '+loc') OR contains(f.rule, '+post')))),
+    alone AS (SELECT row_ord, block FROM e WHERE block[1] <> '!' AND row_ord NOT IN (SELECT unnest(members) FROM found)),
+    hits AS (SELECT l.row_ord, s.seed, s.first_row, r.rule, r.first_, d.distance FROM alone l JOIN rules r ON r.a = l.row_ord JOIN seeds s ON s.seed = r.b JOIN near d ON d.a = least(l.block, s.block) AND d.b = greatest(l.block, s.block)),
+    best AS (SELECT *, row_number() OVER (PARTITION BY row_ord ORDER BY first_row, seed) AS k FROM hits)
+    SELECT row_ord, seed, concat('fuzzy_last_', distance, '+', regexp_replace(rule, '^[^+]*\\+', '')) AS rule, distance <= 2 AND first_ = 'exact' AS sure FROM best WHERE k = 1""",
+}

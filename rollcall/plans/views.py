@@ -29,7 +29,7 @@ SELECT c_custkey AS row_ord, concat('E', CAST(c_custkey AS STRING)) AS entry_id,
   {_pick("Mr.|Mrs.|Miss|Rev.||Dr.|Mr.|Capt.||Sir|Mr.|Rev. Mr.|Mr.", _mix(1))} AS parsed_title,
   {_pick("John|Mary|Thomas|J.|William|Ann||Joseph|Jon|T.|John|James|R. L.|Josef|R. L.", _mix(2))} AS parsed_first,
   CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat({_pick("Ash|Bell|Cole|Howarth|Haworth|Smith|Smyth|Birch|Green|Greene|de la Tour|Tour|Low|Lowe|Mills", _mix(3))},
-    {_pick("|son|ton|ley|by|er|wick|ham|ford|worth", "CAST(floor(c_custkey / 90) AS BIGINT)")}) END AS parsed_last,
+    {_pick("|son|ton|ley|by|er|wick|ham|ford|worth", "CAST(floor(c_custkey / 300) AS BIGINT)")}) END AS parsed_last,
   {_pick("||Esq.||||Jun.|Esq|M. D|", _mix(4))} AS parsed_postnominals,
   {_pick("|||bookseller|||printer and bookseller|||attorney at law|attorney|", _mix(5))} AS parsed_occupation,
   {_pick("||||Trinity Coll|||Trinity College||T. C. D|T.C.D|||", _mix(6))} AS parsed_affiliation,

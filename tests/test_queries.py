@@ -65,5 +65,5 @@ def test_every_query_says_something():
 
 def test_pairs_of_a_larger_table(spark, monkeypatch):
     monkeypatch.setitem(globals(), "DATA", DATA.parent / "sf0.01")
-    for name in ("missed_match_scores", "match_pairs", "match_pairs_cross", "ledger_apply"):
+    for name in ("missed_match_scores", "match_pairs", "match_pairs_cross", "ledger_apply", "exact_clusters", "single_links"):
         compare(spark, name, entry.queries()[name], entry.oracle_sql()[name])
