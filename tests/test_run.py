@@ -1,6 +1,7 @@
 """A whole run over small invented lists, and the goldens where they are at hand."""
 
 import csv
+import os
 from pathlib import Path
 
 import pytest
@@ -67,7 +68,7 @@ def beside(*columns):
     """A CSV file of a folder beside the repository that has the columns, the first by name; None if there is none."""
     top = Path(__file__).resolve().parents[2]
     for folder in sorted(x for x in top.iterdir() if x.is_dir() and not x.name.startswith(".") and x != Path(__file__).resolve().parents[1]):
-        for path in sorted([*folder.glob("*/*.csv"), *folder.glob("*/*/*.csv")]):
+        for path in sorted(x for x in [*folder.glob("*/*.csv"), *folder.glob("*/*/*.csv")] if x.is_file() and os.access(x, os.R_OK)):
             with path.open(encoding="utf-8", errors="replace", newline="") as f:
                 if set(columns) <= set(next(csv.reader(f), [])):
                     return str(path)
