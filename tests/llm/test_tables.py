@@ -87,10 +87,11 @@ def test_jaccard_components(docs, width, percent):
     assert sortable(got) == sortable(brute_components(corpus(), width, percent))
 
 
-def test_jaccard_blocks_of_a_large_cluster(spark, monkeypatch):
+def test_jaccard_rounds_of_a_large_cluster(spark, monkeypatch):
     from rollcall.llm import jaccard_join
 
-    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard_join, "MORE_PIVOTS", 2)
     base, rows = prose(3, 80), []
     for k in range(60):
         words = base[: 80 - k % 9]
