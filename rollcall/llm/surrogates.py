@@ -5,15 +5,24 @@ type and canonical form makes the surrogate, so that one person's number is
 replaced alike wherever and however it is written. The surrogates of all
 distinct entities are then checked: where two would share one, or one equals an
 entity of the corpus, all but one are drawn again, from the third draw on from
-longer forms; what still collides after all rounds gets a form with its rank.
+longer forms; what still collides after some draws gets a form with its rank.
+
+A name is a given name and a surname, each with a surrogate of its own, so that
+Dr. John Smith, Mr. John Smith and Mr. Smith stay one family and one person. A
+given name has the gender of the titles that it is seen with in the whole table.
+In a document that names somebody with a title, the name is replaced where it
+stands alone, too.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import let, saved
+from rollcall.llm.common import discard, let, others, quoted, saved, sieve
+from rollcall.operators.skew import spread_join
 
 #: Titles before names, by gender.
 TITLES = {
@@ -41,7 +50,7 @@ _ANY_TITLE = "|".join(t for group in TITLES.values() for t in group)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What counts as an entity, in the order in which alternatives are tried.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}][\p{L}\p{N}_.%+-]*+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}][\p{L}\p{N}_.%+-]*+@(?:[\p{L}\p{N}-]++\.(?=[\p{L}\p{N}-]++\.|\p{L}{2}))++\p{L}{2,}",
     "secret": r"(?<!\w)(?i:token|secret|password|passwd|api[_-]?key)\s?[=:]\s?[\"']?[A-Za-z0-9_+/-]{12,}",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
@@ -51,6 +60,10 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_ANY_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?",
 }
 _EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Endings of made-up given names by script and gender.
+ENDINGS = {"latin": {"m": "", "f": "a", "n": "i"}, "cyrillic": {"m": "", "f": "а", "n": "ен"}, "greek": {"m": "ος", "f": "α", "n": "ης"}}
+#: The countries' letters and check digits stand before the account, whose letters count from 10.
+IBAN_MODULUS, IBAN_REST = 97, 98
 #: Attempts from here on are ranks, which are written out in the surrogate.
 RANKED = 1_000_000_000
 _SECRET_HEAD = r"^\w[\w-]*\s?[=:]\s?[\"']?"
@@ -90,11 +103,27 @@ def canonical(kind: Column, m: Column) -> Column:
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
         .when(kind == "ip", m)
         .when(kind == "phone", phone)
-        .when(kind == "name", F.concat(_gender(m), F.lit(":"), F.regexp_replace(m, r"^\p{L}+\.? ", "")))
+        .when(kind == "name", F.regexp_replace(m, r"^\p{L}+\.? ", ""))
         .otherwise(digits)
     )
 
 
+def parts(kind: Column, m: Column) -> Column:
+    """The entities of a mention, as structs of kind and value: given name and surname of a name, else the one that it is."""
+    one = lambda k, v: F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), v.alias("value"))
+
+    def named(whole: Column) -> Column:
+        two = F.split(whole, "[ -]", 2)
+        first, second = F.get(two, F.lit(0)), F.get(two, F.lit(1))
+        return (
+            F.when(whole.contains(" "), F.array(one("given", F.concat(_gender(m), F.lit(":"), first)), one("surname", second)))
+            .when(whole.contains("-"), F.array(one("surname", first), one("surname", second)))
+            .otherwise(F.array(one("surname", whole)))
+        )
+
+    return let(canonical(kind, m), lambda value: F.when(kind == "name", named(value)).otherwise(F.array(one(kind, value))))
+
+
 def _redrawn(value: Column, digest: Column, first: int = 0) -> Column:
     """``value`` with its digits and letters from place ``first`` on drawn from the digest, kind by kind."""
     numbers = F.translate(digest, "abcdef", "147036")
@@ -134,27 +163,68 @@ def _more_digits(digest: Column, attempt: Column, after: int) -> Column:
     return F.when(attempt >= RANKED, F.lpad((attempt - RANKED).cast("string"), 16, "0")).when(attempt > after, drawn).otherwise("")
 
 
-def _name(value: Column, digest: Column, attempt: Column) -> Column:
-    """A name of the same script and form; its surname has four syllables, one more for each attempt behind the first, 12 at most, or 16 that tell the rank."""
-    gender, name = F.substring(value, 1, 1), F.substring(value, 3, 1000)
-    script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    given = F.lit(None).cast("string")
-    for (s, g), names in GIVEN.items():
-        which = (script == s) & ((gender == g) | ((gender == "n") & (g == "m") & (F.lit(s) != "latin")))
-        given = F.when(which, F.element_at(F.array(*map(F.lit, names)), _number(digest, 1, 1) + 1)).otherwise(given)
-    surname = F.lit(None).cast("string")
-    for s, parts in SYLLABLES.items():
-        words = F.array(*map(F.lit, parts))
-        four = F.concat(*[F.element_at(words, _number(digest, k, 1) + 1) for k in (2, 3, 4, 5)])
+def _mod97(account: Column) -> Column:
+    """The remainder by which account numbers are checked, of the account with its first four signs moved to its end."""
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+    step = lambda acc, c: F.when(c.rlike("[0-9]"), acc * 10 + c.try_cast("int")).otherwise(acc * 100 + F.ascii(c) - 55) % IBAN_MODULUS
+    return F.aggregate(F.split(turned, "(?!^)(?!$)", -1), F.lit(0), step)
+
+
+def _account(value: Column, digest: Column) -> Column:
+    """An account of the same country and form, which passes the check digit test if ``value`` does."""
+    free = _redrawn(value, digest, 4)
+    bare = F.concat(F.substring(free, 1, 2), F.lit("00"), F.substring(free, F.lit(5), F.length(free)))
+    fixed = F.concat(F.substring(free, 1, 2), F.lpad((IBAN_REST - _mod97(bare)).cast("string"), 2, "0"), F.substring(free, F.lit(5), F.length(free)))
+    return F.when(_mod97(value) == 1, fixed).otherwise(_redrawn(value, digest, 2))
+
+
+def _script(name: Column) -> Column:
+    return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def _spelled(hexadecimal: Column, words: Column) -> Column:
+    return F.array_join(F.transform(F.split(hexadecimal, "(?!^)(?!$)", -1), lambda c: F.element_at(words, F.conv(c, 16, 10).cast("int") + 1)), "")
+
+
+def _made_up(script: Column, digest: Column, attempt: Column, least: int) -> Column:
+    """A word of ``least`` syllables, one more for each attempt behind the first, 8 more at most; or of 16 that tell the rank."""
+    out = F.lit(None).cast("string")
+    for s, syllables in SYLLABLES.items():
+        words = F.array(*map(F.lit, syllables))
+        drawn = _spelled(F.substring(digest, F.lit(2), least + F.least(F.greatest(attempt - 1, F.lit(0)), F.lit(8))), words)
+        out = F.when(script == s, F.when(attempt >= RANKED, _spelled(F.lpad(F.hex(attempt - RANKED), 16, "0"), words)).otherwise(drawn)).otherwise(out)
+    return F.initcap(out)
+
+
+def _known_gender(gender: Column, name: Column, script: Column) -> Column:
+    """The gender said, else that of the lists of names, else by the ending where the script's names tell it."""
+    listed = F.lit(None).cast("string")
+    for (_, g), names in GIVEN.items():
+        listed = F.when(name.isin(names), g).otherwise(listed)
+    ending = F.when(script == "latin", "n").when(name.rlike("[аяαη]$"), "f").otherwise("m")
+    return F.when(gender != "n", gender).otherwise(F.coalesce(listed, ending))
 
-        def spelled(hexadecimal: Column, words: Column = words) -> Column:
-            return F.array_join(F.transform(F.split(hexadecimal, "(?!^)(?!$)", -1), lambda c: F.element_at(words, F.conv(c, 16, 10).cast("int") + 1)), "")
 
-        more = F.concat(four, spelled(F.substring(digest, F.lit(6), F.least(attempt - 1, F.lit(8)))))
-        made = F.initcap(F.when(attempt >= RANKED, spelled(F.lpad(F.hex(attempt - RANKED), 16, "0"))).when(attempt > 1, more).otherwise(four))
-        surname = F.when(script == s, made).otherwise(surname)
-    gap = F.regexp_extract(name, r"[ -]", 0)
-    return F.when(gap == "", surname).otherwise(F.concat(given, gap, surname))
+def _given(value: Column, digest: Column, attempt: Column) -> Column:
+    """A given name of the same script and gender, another one than ``value`` (gender:name); made up from the second draw on."""
+    name = F.substring(value, 3, 1000)
+
+    def made(script: Column) -> Column:
+        def of(gender: Column) -> Column:
+            listed = ending = F.lit("")
+            for s, by_gender in ENDINGS.items():
+                for g, end in by_gender.items():
+                    here = (script == s) & (gender == g)
+                    ending = F.when(here, end).otherwise(ending)
+                    if names := GIVEN.get((s, g)):
+                        at = _number(digest, 1, 1)
+                        word = lambda k, names=names: F.element_at(F.array(*map(F.lit, names)), F.pmod(k, F.lit(len(names))) + 1)
+                        listed = F.when(here, F.when(word(at) == name, word(at + 1)).otherwise(word(at))).otherwise(listed)
+            return F.when((attempt == 0) & (listed != ""), listed).otherwise(F.concat(_made_up(script, digest, attempt, 2), ending))
+
+        return let(_known_gender(F.substring(value, 1, 1), name, script), of)
+
+    return let(_script(name), made)
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
@@ -178,12 +248,13 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
             F.when(kind == "email", F.concat(_redrawn(F.substring_index(value, "@", 1), d), suffix, F.lit("@"), F.substring(F.translate(F.reverse(d), "0123456789", "ghklmnprst"), 1, 8), F.lit(".example.org")))
             .when((kind == "secret") & value.rlike("^[0-9a-fA-F]+$"), F.when((F.upper(value) == value) & (F.lower(value) != value), F.upper(drawn_hex)).otherwise(drawn_hex))
             .when(kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
-            .when(kind == "iban", F.concat(_redrawn(value, d, 2), _more_digits(d, attempt, 24)))
+            .when(kind == "iban", F.when(attempt < RANKED, _account(value, d)).otherwise(F.concat(_redrawn(value, d, 2), _more_digits(d, attempt, 24))))
             .when((kind == "phone") & value.startswith("+"), F.concat(F.substring_index(value, " ", 1), F.lit(" "), _redrawn(F.substring_index(value, " ", -1), d), _more_digits(d, attempt, 1)))
             .when(kind == "phone", F.concat(_redrawn(value, d), _more_digits(d, attempt, 1)))
             .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_redrawn(value, d), 2, 8), _more_digits(d, attempt, 24)))
             .when(kind == "card", F.concat(_card(value, d), _more_digits(d, attempt, 24)))
-            .when(kind == "name", _name(value, d, attempt))
+            .when(kind == "given", _given(value, d, attempt))
+            .when(kind == "surname", _made_up(_script(value), d, attempt, 4))
             .otherwise(F.concat(_redrawn(value, d), suffix))
         )
 
@@ -207,38 +278,73 @@ def rendered(kind: Column, m: Column, new: Column) -> Column:
         F.when(kind == "secret", F.concat(head, new))
         .when(kind == "email", F.when(upper, F.upper(new)).otherwise(new))
         .when(kind == "iban", F.when(m.contains(" "), spaced).otherwise(new))
-        .when(kind == "name", F.concat(F.regexp_extract(m, r"^(\p{L}+\.? )", 1), new))
         .when(kind == "ip", new)
         .otherwise(folded)
     )
 
 
-def redraws(found: DataFrame, key: str, most_rounds: int = 50) -> DataFrame:
+def rendered_name(m: Column, new: Column) -> Column:
+    """The surrogates of a name's parts, in an array, in the form in which the name was written."""
+    title, gap = F.regexp_extract(m, r"^(\p{L}+\.? )", 1), F.regexp_extract(m, r"^\p{L}+\.? \p{L}+([ -])", 1)
+    return F.concat(title, _joined(new, gap))
+
+
+def _joined(two: Column, gap: Column) -> Column:
+    return F.concat(F.get(two, F.lit(0)), F.when(F.size(two) > 1, F.concat(gap, F.get(two, F.lit(1)))).otherwise(""))
+
+
+def redraws(found: DataFrame, key: str, most_draws: int = 12) -> DataFrame:
     """Rows (kind, value, attempt) of the entities whose first surrogate is taken; ``found`` has (kind, value) once each.
 
-    After ``most_rounds`` draws an attempt is ``RANKED`` and a rank that no other has.
+    After ``most_draws`` draws an attempt is ``RANKED`` and a rank that no other
+    has; a rank whose form is an entity of the corpus gives way to the next one,
+    so that every entity gets a surrogate of its own in the end.
     """
     ranked = RANKED
     drawn = saved(found.withColumn("attempt", F.lit(0)).withColumn("new", surrogate(F.col("kind"), F.col("value"), F.lit(0), key)), "surrogates-drawn")
-    for turn in range(2 * most_rounds):
+    for turn in itertools.count():
         real = found.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
         least = drawn.groupBy("kind", "new").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count(F.lit(1)).alias("many"))
-        taken = least.join(real, ["kind", "new"], "left").where("many > 1 or real")
-        taken = saved(taken, "surrogates-taken")
-        if not taken.limit(1).count():
+        taken = saved(least.join(real, ["kind", "new"], "left").where("many > 1 or real"), "surrogates-taken")
+        if taken.isEmpty():
+            discard(taken)
             return drawn.where("attempt > 0").select("kind", "value", "attempt")
         again = drawn.join(taken, ["kind", "new"], "left")
         lost = F.col("many").isNotNull() & (F.col("real").isNotNull() | (F.col("first.value") != F.col("value")))
         attempt = F.col("attempt") + lost.cast("int")
         again = again.select("kind", "value", attempt.alias("attempt"), "new", lost.alias("lost"))
-        if turn >= most_rounds:
+        if turn >= most_draws:
             some = again.where("lost").select("kind", "value", (F.row_number().over(Window.partitionBy("kind").orderBy("value")) + ranked).alias("rank"))
             some = saved(some, "surrogates-ranked")
             ranked += some.count()
             again = again.join(some, ["kind", "value"], "left").withColumn("attempt", F.coalesce("rank", "attempt")).drop("rank")
         new = F.when(F.col("lost"), surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)).otherwise(F.col("new"))
-        drawn = saved(again.select("kind", "value", "attempt", new.alias("new")), "surrogates-drawn")
-    raise RuntimeError(f"surrogates still collide after {most_rounds} rounds of ranks")
+        after = saved(again.select("kind", "value", "attempt", new.alias("new")), "surrogates-drawn")
+        discard(drawn, taken)
+        drawn = after
+
+
+def _with_genders(found: DataFrame) -> DataFrame:
+    """``found`` (kind, value) plus ``known``: a given name without a gender gets the one that it has elsewhere, if it is only one."""
+    name, gender = F.substring("value", 3, 1000), F.substring("value", 1, 1)
+    seen = found.where("kind = 'given'").select(name.alias("name"), gender.alias("gender"))
+    told = seen.groupBy("name").agg(F.bool_or(F.col("gender") == "m").alias("m"), F.bool_or(F.col("gender") == "f").alias("f")).where("m <> f")
+    told = told.select(F.lit("given").alias("kind"), F.concat(F.lit("n:"), "name").alias("value"), F.concat(F.when(F.col("m"), "m:").otherwise("f:"), "name").alias("known"))
+    return found.join(told, ["kind", "value"], "left").withColumn("known", F.coalesce("known", "value"))
+
+
+def _bare_names(text: Column, names: Column) -> Column:
+    """``text`` with the names of an array of (name, new) replaced wherever they stand as whole words, the longest first."""
+    longest = F.array_sort(names, lambda a, b: F.when(F.length(a["name"]) > F.length(b["name"]), -1).when(F.length(a["name"]) < F.length(b["name"]), 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
+    any_ = F.array_join(F.transform(longest, lambda x: x["name"]), "|")
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), any_, F.lit(r")(?!\p{L})"))
+
+    def replaced(p: Column) -> Column:
+        met = F.regexp_extract_all(text, p, F.lit(0))
+        new = F.transform(met, lambda w: F.get(F.filter(names, lambda x: x["name"] == w), F.lit(0))["new"])
+        return _woven(F.split(text, p, -1), new)
+
+    return let(pattern, replaced)
 
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
@@ -248,44 +354,72 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     addresses, secrets and names after a title are replaced by surrogates of
     their type, format, script and gender. One entity has one surrogate in the
     whole table and two entities never share one; the mapping depends on
-    ``key``, and on the table only where draws collide.
+    ``key``, and on the table only where draws collide. Names that stand after
+    a title somewhere in a text are replaced in all of it, with or without given
+    name; ``n_entities`` counts the mentions with a title only.
 
     A null text stays null and an empty one empty, with no entities. Texts are
     read whole. Repeated rows are treated alike. Columns named like the new
-    ones are replaced. An empty table gives an empty result.
+    one, in whatever case, are replaced. An empty table gives an empty result.
+    Only texts with an entity whose first draw was taken, or whose gender another
+    text tells, are shuffled.
     """
     kinds = F.transform(entities(F.col("text")), lambda m: F.struct(entity_type(m).alias("kind"), m.alias("m")))
-    each = F.array_distinct(F.transform(kinds, lambda x: F.struct(x["kind"].alias("kind"), canonical(x["kind"], x["m"]).alias("value"))))
-    row = F.xxhash64("text")
-    some = docs.where(F.col("text").rlike(_EVERY)).select(row.alias("__row"), F.explode(each).alias("x")).select("__row", "x.kind", "x.value")
+    each = F.array_distinct(F.flatten(F.transform(kinds, lambda x: parts(x["kind"], x["m"]))))
+    keys = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
+    some = docs.where(F.col("text").rlike(_EVERY)).select(*keys, F.explode(each).alias("x")).select("k1", "k2", "x.kind", "x.value")
     some = saved(some, "surrogates-found")
-    others = saved(redraws(some.select("kind", "value").distinct(), key), "surrogates-others")
-    out = docs.select(*[F.col(c) for c in docs.columns if c != "n_entities"])
-    attempts = F.lit(None).cast("map<string,int>")
-    name = F.concat_ws(":", "kind", "value")
-    if others.limit(1).count():
-        per_row = some.distinct().join(others, ["kind", "value"]).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct(name.alias("name"), "attempt"))).alias("__attempts"))
-        out = out.withColumn("__row", row).join(per_row, "__row", "left")
-        attempts = F.col("__attempts")
-
-    def new(m: Column) -> Column:
-        def known(kind: Column) -> Column:
-            def valued(value: Column) -> Column:
-                attempt = F.coalesce(F.try_element_at(attempts, F.concat_ws(":", kind, value)), F.lit(0))
-                return rendered(kind, m, surrogate(kind, value, attempt, key))
-
-            return let(canonical(kind, m), valued)
-
-        return let(entity_type(m), known)
+    known = saved(_with_genders(some.select("kind", "value").distinct()), "surrogates-known")
+    again = redraws(known.select("kind", F.col("known").alias("value")).distinct(), key).withColumnRenamed("value", "known")
+    special = known.join(again, ["kind", "known"], "left").where("attempt is not null or known <> value")
+    special = saved(special.select("kind", "value", "known", F.coalesce("attempt", F.lit(0)).alias("attempt")), "surrogates-special")
+
+    kept = others(docs.columns, ("text", "n_entities"))
+    rows = docs.select(F.struct(F.lit(0).alias("none"), *[F.col(quoted(c)) for c in kept]).alias("doc"), "text", *keys)
+    name = F.concat_ws(":", "kind", "value").alias("name")
+    told = "array<struct<name:string,known:string,attempt:int>>"
+    if not special.isEmpty():
+        per_text = some.distinct().join(special, ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_list(F.struct(name, "known", "attempt")).cast(told).alias("special"))
+        per_text = saved(per_text, "surrogates-texts")
+        may, clear = sieve(rows, per_text)
+        copies = may.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"))
+        total = copies.agg(F.sum("rows")).first()[0] or 0
+        may = may.withColumn("by", F.xxhash64("doc"))
+        may = spread_join(may, copies.join(per_text, ["k1", "k2"], "left"), ["k1", "k2"], "by", "rows", total, "left")
+        rows = clear.withColumn("special", F.lit(None).cast(told)).unionByName(may.select("doc", "text", "k1", "k2", "special"))
+    else:
+        rows = rows.withColumn("special", F.lit(None).cast(told))
+
+    def new(part: Column) -> Column:
+        said = F.get(F.filter("special", lambda x: x["name"] == F.concat_ws(":", part["kind"], part["value"])), F.lit(0))
+        return let(said, lambda x: surrogate(part["kind"], F.coalesce(x["known"], part["value"]), F.coalesce(x["attempt"], F.lit(0)), key))
+
+    def replacement(m: Column) -> Column:
+        def of(kind: Column) -> Column:
+            made = F.transform(parts(kind, m), new)
+            return let(made, lambda made: F.when(kind == "name", rendered_name(m, made)).otherwise(rendered(kind, m, F.get(made, F.lit(0)))))
+
+        return let(entity_type(m), of)
+
+    def bare(m: Column) -> Column:
+        """(name, surrogate) of a mention of a name, whole and by its surname."""
+        whole = F.regexp_replace(m, r"^\p{L}+\.? ", "")
+        gap, last = F.regexp_extract(whole, "[ -]", 0), F.substring_index(whole, " ", -1)
+
+        def both(made: Column) -> Column:
+            full, end = _joined(made, gap), F.element_at(made, -1)
+            return F.array(F.struct(whole.alias("name"), full.alias("new")), F.struct(last.alias("name"), F.when(gap == " ", end).otherwise(full).alias("new")))
+
+        return let(F.transform(parts(F.lit("name"), m), new), both)
 
     found, gaps = entities(F.col("text")), F.split("text", _EVERY, -1)
-    replaced = _woven(gaps, F.transform(found, new))
-    has = F.col("text").rlike(_EVERY)
-    return out.select(
-        *[F.col(c) for c in docs.columns if c not in ("text", "n_entities")],
-        F.when(has, replaced).otherwise(F.col("text")).alias("text"),
-        F.when(has, F.size(found)).otherwise(F.lit(0)).cast("long").alias("n_entities"),
-    )
+    named = F.filter(found, lambda m: entity_type(m) == "name")
+    has, has_name = F.col("text").rlike(_EVERY), F.col("text").rlike(PATTERNS["name"])
+    names = F.array_distinct(F.flatten(F.transform(named, bare)))
+    cleared = F.when(has_name & (F.size(named) > 0), let(names, lambda n: F.transform(gaps, lambda gap: _bare_names(gap, n)))).otherwise(gaps)
+    replaced = _woven(cleared, F.transform(found, replacement))
+    made = rows.select("doc", F.when(has, replaced).otherwise(F.col("text")).alias("text"), F.when(has, F.size(found)).otherwise(F.lit(0)).cast("long").alias("n_entities"))
+    return made.select(*[F.col(f"doc.{quoted(c)}") for c in kept], "text", "n_entities")
 
 
 def _woven(gaps: Column, found: Column) -> Column:
