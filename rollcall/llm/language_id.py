@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import extended
+from rollcall.llm.common import extended, others, quoted
 
 #: Fitting: documents per language and windows per document at most, all from rows that are not held out.
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, TRAIN_WINDOW = 160, 6, 64
@@ -23,7 +23,7 @@ HIDDEN, STEPS, BATCH, RATE, SEED = 8, 300, 128, 0.02, 7
 #: Prediction: bytes of a window, and windows that are read at once.
 WINDOW, BLOCK = 128, 1024
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers that are no digits, such as fractions
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _PAD = 0x20
 
@@ -142,6 +142,10 @@ def train(samples: list[tuple[str, bytes]], hidden: int = HIDDEN, steps: int = S
     return net
 
 
+def has_letter(text: str) -> bool:
+    return any(found[0].isalpha() for found in _MAYBE_LETTER.finditer(text))
+
+
 class Reader:
     """Reads windows with a trained network, with the gates' halves folded into the weights."""
 
@@ -186,7 +190,7 @@ class Reader:
 
     def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text."""
-        datas = [(t or "").encode("utf-8", "replace").translate(_LOWER) if t and self.net.languages and _LETTER.search(t) else b"" for t in texts]
+        datas = [(t or "").encode("utf-8", "replace").translate(_LOWER) if t and self.net.languages and has_letter(t) else b"" for t in texts]
         counts = np.array([-(-len(d) // WINDOW) for d in datas])
         if not counts.sum():
             return [(UNDETERMINED, 0.0)] * len(texts)
@@ -244,9 +248,10 @@ def identify_languages(docs: DataFrame, net: Network) -> DataFrame:
     Only ``text`` is read. ``lang_pred`` is a language that ``net`` has learned,
     or ``und`` with score 0 if the text is null, empty or without a letter, or
     if nothing was learned. Every byte of a text counts, however long it is.
-    Equal texts get equal results; columns named like the new ones are replaced.
+    Equal texts get equal results; columns named like the new ones, in whatever
+    case, are replaced. An empty table gives an empty result.
     """
-    kept = docs.select(*[F.col(c) for c in docs.columns if c not in ("lang_pred", "score")])
+    kept = docs.select(*[F.col(quoted(c)) for c in others(docs.columns, ("lang_pred", "score"))])
     schema = extended(kept.schema, "lang_pred string, score double")
     place = kept.columns.index("text")
 
