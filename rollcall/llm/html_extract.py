@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import extended
+from rollcall.llm.common import extended, others, quoted
 
 #: Frequent words of the languages that are read.
 STOP_WORDS = frozenset(
@@ -53,7 +54,10 @@ BESIDE = frozenset(
 STATES = frozenset("has no not with without is by open opened closed active enabled disabled toggle toggled".split())
 MAIN_ROLES = frozenset(["main", "article"])
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^<>]*\Z", re.S)
+#: A quoted value ends at a quote that white space or the tag's end follows; any other quote is a sign like others, so that one
+#: that is never closed does not swallow what follows, and no pattern reads on to the page's end more than once.
+_ATTRS = r"""(?:=\s*"[^"]{0,20000}"(?=[\s/>]|\Z)|=\s*'[^']{0,20000}'(?=[\s/>]|\Z)|[^<>"'=]|[="'])*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>|</?[a-zA-Z][^<>]*\Z", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -128,6 +132,7 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
     """The page's blocks in order, and whether the page marks its main part."""
     page = page or ""
     out, block = [], Block()
+    opened: Counter[str] = Counter()  # tags on the stack
     stack: list[tuple[str, bool, bool, int]] = []  # tag, starts something beside the article, starts the main part, named element around
     around: list[int] = []  # of each named element: the one around it
     beside = inside = links = 0
@@ -149,6 +154,7 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
     def close(entry) -> None:
         nonlocal beside, inside, links, named
         tag, was_beside, was_main, named = entry
+        opened[tag] -= 1
         beside -= was_beside
         inside -= was_main
         links -= tag == "a"
@@ -180,6 +186,7 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
             aside = tag in SKIPPED or (tag == "header" and not inside) or bool(_HIDDEN.search(found["attrs"]))
             main = main and not beside and not aside
             stack.append((tag, aside, main, named))
+            opened[tag] += 1
             if names & BESIDE and tag not in ("html", "body", "article", "main"):
                 around.append(named)
                 named = len(around) - 1
@@ -188,7 +195,7 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
             links += tag == "a"
             if tag in BLOCK:
                 cut(tag in HEADINGS)
-        elif any(entry[0] == tag for entry in stack):
+        elif opened[tag]:
             while stack:
                 entry = stack.pop()
                 close(entry)
@@ -222,7 +229,7 @@ def _first_pass(found: list[Block]) -> list[str]:
             labels.append("bad")
         elif b.linked > (LINKS_MAIN if b.inside else LINKS) * solid and not (b.heading and b.inside):
             labels.append("bad" if b.linked > 0.9 * solid or len(b.text) >= SHORT else "short")
-        elif "©" in b.text[:3] or len(b.text) < SHORT or b.heading:
+        elif len(b.text) < SHORT or b.heading:
             labels.append("bad" if b.text.startswith("©") else "short")
         else:
             labels.append("")
@@ -288,9 +295,11 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Reads the whole ``html``; a null or empty page, or one without main text,
     has an empty text. Unclosed tags end with what contains them. Equal pages
-    get equal texts. Columns named like the new ones are replaced.
+    get equal texts, and repeated rows come back as often as they came. Columns
+    named like the new ones, in whatever case, are replaced. An empty table
+    gives an empty result. The work grows with the length of a page.
     """
-    kept = pages.select(*[F.col(c) for c in pages.columns if c not in ("text", "n_chars")])
+    kept = pages.select(*[F.col(quoted(c)) for c in others(pages.columns, ("text", "n_chars"))])
     place = kept.columns.index("html")
 
     def run(batches):
