@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import extended
+from rollcall.llm.common import extended, others, quoted
 
 #: Phrases that always give their label.
 BASE_PHRASES = {
@@ -69,6 +69,55 @@ TEMPLATES = [
      granted provided that the above copyright notice and this permission notice appear in all copies"""),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+     documentation files the software to deal in the software without restriction including without limitation the rights to
+     use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the
+     software is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+     shall be included in all copies or substantial portions of the software the software is provided as is without warranty of
+     any kind express or implied including but not limited to the warranties of merchantability fitness for a particular
+     purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other
+     liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or
+     the use or other dealings in the software"""),
+    ("isc", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby
+     granted provided that the above copyright notice and this permission notice appear in all copies the software is provided
+     as is and the author disclaims all warranties with regard to this software including all implied warranties of
+     merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential
+     damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence
+     or other tortious action arising out of or in connection with the use or performance of this software"""),
+    ("bsd", """redistribution and use in source and binary forms with or without modification are permitted provided that the
+     following conditions are met 1 redistributions of source code must retain the above copyright notice this list of
+     conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this
+     list of conditions and the following disclaimer in the documentation and or other materials provided with the
+     distribution this software is provided by the copyright holders and contributors as is and any express or implied
+     warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose
+     are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental
+     special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss
+     of use data or profits or business interruption however caused and on any theory of liability whether in contract strict
+     liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of
+     the possibility of such damage"""),
+    ("bsd-3", """neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+     products derived from this software without specific prior written permission"""),
+    ("zlib", """this software is provided as is without any express or implied warranty in no event will the authors be held
+     liable for any damages arising from the use of this software permission is granted to anyone to use this software for any
+     purpose including commercial applications and to alter it and redistribute it freely subject to the following
+     restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original
+     software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is
+     not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original
+     software 3 this notice may not be removed or altered from any source distribution"""),
+    ("bsl-1", """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and
+     accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit
+     the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished
+     to do so all subject to the following"""),
+    ("unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify
+     publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose
+     commercial or non commercial and by any means"""),
+    ("apache-2", """unless required by applicable law or agreed to in writing software distributed under the license is
+     distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for
+     the specific language governing permissions and limitations under the license"""),
+    ("mpl-2", """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not
+     distributed with this file you can obtain one at http mozilla org mpl 2 0"""),
+    ("wtfpl", "do what the fuck you want to public license"),
+    ("cc0", "creative commons zero v1 0 universal"),
 ]
 
 #: Words of the shortest run that is chained, words that may lie between two runs of a chain, and share of a template that must be covered.
@@ -262,9 +311,10 @@ def scan_licences(docs: DataFrame, name: str = "licences") -> DataFrame:
 
     Null and empty texts have no words and no labels. Texts are scanned whole,
     in memory that grows with one text. Equal texts get equal results. A column
-    that is already called ``name`` is replaced.
+    that is already called ``name``, in whatever case, is replaced. An empty
+    table gives an empty result.
     """
-    kept = docs.select(*[F.col(c) for c in docs.columns if c != name])
+    kept = docs.select(*[F.col(quoted(c)) for c in others(docs.columns, (name,))])
     place = kept.columns.index("text")
 
     def run(batches):
