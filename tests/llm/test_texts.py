@@ -1,5 +1,6 @@
 """Operators on single texts: language, pages, licences, media, personal data."""
 
+import hashlib
 import re
 import struct
 import zlib
@@ -231,25 +232,41 @@ def test_sniffing(spark):
     assert [r.type_corrected for r in got][:2] == [False, True] and bytes(got[0].media[0].bytes) == MEDIA["image/png"]
 
 
-def test_text_round_trip(spark):
-    texts = [None, "", "x", "y" * 64, "é" * 33, "GIF89a RIFF WAVEfmt %PDF- BM", "long " * 50000]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    got = media_sniff.media_digest(media_sniff.sniff_media(media_sniff.text_media(docs), carve=False)).orderBy("doc_id").collect()
-    for r, t in zip(got, texts, strict=True):
-        data = (t or "").encode()
-        padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
-        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(data), len(padded), zlib.crc32(padded[-64:]))
-        assert media_sniff.wav_samples(media_sniff.wav(padded)) == padded and r.media_bytes == len(padded) + 44
+def test_many_signatures_take_linear_time():
+    """Signatures without an end, zip entries and marks: no hit searches the rest of the value."""
+    import time
+
+    entry = b"PK\x03\x04" + b"x" * 26
+    central = b"c" * 46
+    for data in (b"%PDF- 1 obj " * 60000, entry * 30000 + central + struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 1, 1, 46, 30 * 30000, 0), b"\xff\xd8\xff\xda\0\x02" * 60000):
+        start = time.perf_counter()
+        found = media_sniff.sniff(data)
+        assert time.perf_counter() - start < 5
+        assert len(found) == (1 if data.startswith(b"PK") else 0)
+
+
+TEXTS = [None, "", "x", "y" * 64, "é" * 33, "GIF89a RIFF WAVEfmt %PDF- BM", "x %PDF-1.4\n1 0 obj\nendobj\n%%EOF y", "long " * 50000, "x"]
+
 
+def brute_digest(text):
+    data = (text or "").encode()
+    padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+    stored = b"RIFF" + struct.pack("<I", 36 + len(padded)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(padded)) + padded
+    crossings = sum((a >= 128) != (b >= 128) for a, b in zip(padded[1:], padded, strict=False))
+    feature = f"text/plain>audio/wav;samples={len(padded)};sum={sum(padded)};peak={max(padded)};crossings={crossings};embedded={data.count(b'%%EOF')}"
+    if b"%%EOF" in data:
+        feature += f";carved={hashlib.sha256(data[data.index(b'%PDF') : data.index(b'%%EOF') + 5]).hexdigest()}"
+    return len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
-def test_query_carves_media(spark, tmp_path, monkeypatch):
-    from rollcall.llm import queries
 
-    text = "x %PDF-1.4\n1 0 obj\nendobj\n%%EOF"
-    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    monkeypatch.setattr(queries, "media_digest", lambda media: media)
-    rows = queries.op7_media_columns(spark, str(tmp_path)).collect()
-    assert [len(r.media) for r in sorted(rows)] == [2, 1] and all(bytes(m.bytes) == bytes(r.content[m.offset : m.offset + m.length]) for r in rows for m in r.media)
+def test_digests_against_a_plain_reckoning(spark):
+    docs = spark.createDataFrame([(k, t, "own") for k, t in enumerate(TEXTS)], "doc_id long, text string, N_BYTES string")
+    got = media_sniff.media_digests(docs.select("doc_id", "text")).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == [brute_digest(t) for t in TEXTS]
+    assert media_sniff.media_digests(docs.where("false")).count() == 0
+    media = media_sniff.sniff_media(media_sniff.text_media(docs)).orderBy("doc_id").collect()
+    assert all(r.type_corrected and r.media_type == "audio/wav" and media_sniff.wav_samples(bytes(r.content)) == media_sniff.payload(t) for r, t in zip(media, TEXTS, strict=True))
+    assert all(bytes(m.bytes) == bytes(r.content[m.offset : m.offset + m.length]) for r in media for m in r.media) and [len(r.media) for r in media] == [1] * 6 + [2, 1, 1]
 
 
 PERSONAL = [
