@@ -61,7 +61,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
     may, clear = sieve(wide, drops)
     may = may.join(drops, ["k1", "k2"], "left")
     places, n_lines = F.col("dropped"), F.size(_split(F.col("text"))).cast("long").alias("n_lines")
-    fields = [F.col(f"doc.{quoted(c)}") for c in kept]
     shortened = F.when(places.isNull(), F.col("text")).otherwise(_without(_split(F.col("text")), places))
-    some = may.select(*fields, shortened.alias("text"), n_lines, F.coalesce(F.when(places.isNotNull(), F.size(places)), F.lit(0)).cast("long").alias("n_dropped"))
-    return clear.select(*fields, "text", n_lines, F.lit(0).cast("long").alias("n_dropped")).union(some)
+    some = may.select("doc", shortened.alias("text"), n_lines, F.coalesce(F.when(places.isNotNull(), F.size(places)), F.lit(0)).cast("long").alias("n_dropped"))
+    out = clear.select("doc", "text", n_lines, F.lit(0).cast("long").alias("n_dropped")).union(some)
+    return out.select(*[F.col(f"doc.{quoted(c)}") for c in kept], "text", "n_lines", "n_dropped")
