@@ -49,6 +49,25 @@ TITLES_WITH_OF = [
 ]
 
 
+#: Patterns of the steps that have no table of words, with what takes their place.
+SPACING = [
+    (r"\.-([A-Z][a-z])", ". $1"), (r"\.([A-Za-z])", ". $1"), (r"([a-z])([A-Z])", "$1 $2"), (r"(?U)\bMc ([A-Z])", "Mc$1"),
+    (r"(?U)\bMac ([A-Z])", "Mac$1"), (r"(?U)([a-z])of(?=\s|[A-Z])", "$1 of"), (r"(?U)\b([A-Z]) \.", "$1."),
+]
+HONORIFICS = [r"(?:His|Her) Grace the\s+", r"(?:His|Her) (?:Royal )?Highness the\s+", r"His\s+Excellen(?:ce|cy)\s+(?:the\s+)?"]
+PEERAGE = (rf"(?U)\b((?:Dowager )?(?:{PEERAGES}))\s+(?!of\b|and\b|the\b|Dowager\b)([A-Z])", "$1 of $2")
+DITTO = r"(?iU)\s+(?:\d+\s+)?(?:of\s+)?(?:ditto|do\.?)\s*$"
+DASHES = [("[-–—]{2,}", "----"), ("(----)([A-Za-z])", "$1 $2")]
+INITIALS = [(r"(?U)\b([A-Z])\.\s*([A-Z])\.", "$1. $2."), (r"(?U)\b([A-Z])\s(?=[A-Z][.\s])", "$1. "), (r"(?<=\. )([A-Z]) (?=[A-Z])", "$1. ")]
+PERIODS = [(r"(?U)\.\s*\.", "."), (rf"(?iU)\b({'|'.join(WHOLE_WORDS)})\.\s", "$1 ")]
+
+
+def _replaced(c: Column, steps) -> Column:
+    for pattern, new in steps:
+        c = F.regexp_replace(c, pattern, new)
+    return c
+
+
 def literal_map(pairs: Mapping[str, str]) -> Column:
     if not pairs:
         return F.create_map(F.lit(""), F.lit(None).cast("string"))
@@ -97,17 +116,7 @@ def strip_punctuation(c: Column) -> Column:
 
 def repair_spacing(c: Column) -> Column:
     """Spaces that are missing after periods and between words, or too many in Mc and Mac names."""
-    for pattern, new in (
-        (r"\.-([A-Z][a-z])", ". $1"),
-        (r"\.([A-Za-z])", ". $1"),
-        (r"([a-z])([A-Z])", "$1 $2"),
-        (r"(?U)\bMc ([A-Z])", "Mc$1"),
-        (r"(?U)\bMac ([A-Z])", "Mac$1"),
-        (r"(?U)([a-z])of(?=\s|[A-Z])", "$1 of"),
-        (r"(?U)\b([A-Z]) \.", "$1."),
-    ):
-        c = F.regexp_replace(c, pattern, new)
-    return c
+    return _replaced(c, SPACING)
 
 
 def abbreviation_periods(c: Column) -> Column:
@@ -119,14 +128,12 @@ def abbreviation_periods(c: Column) -> Column:
 
 def strip_honorifics(c: Column) -> Column:
     """Grace, Highness and Excellency before another title."""
-    for pattern in (r"(?:His|Her) Grace the\s+", r"(?:His|Her) (?:Royal )?Highness the\s+", r"His\s+Excellen(?:ce|cy)\s+(?:the\s+)?"):
-        c = F.regexp_replace(c, f"(?iU){pattern}", "")
-    return c
+    return _replaced(c, [(f"(?iU){pattern}", "") for pattern in HONORIFICS])
 
 
 def insert_peerage_of(c: Column) -> Column:
     """``Duke Bedford`` to ``Duke of Bedford``."""
-    return F.regexp_replace(c, rf"(?U)\b((?:Dowager )?(?:{PEERAGES}))\s+(?!of\b|and\b|the\b|Dowager\b)([A-Z])", "$1 of $2")
+    return _replaced(c, [PEERAGE])
 
 
 def expand_first_names(c: Column) -> Column:
@@ -157,18 +164,16 @@ def strip_annotations(c: Column) -> Column:
 
 
 def strip_ditto(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?iU)\s+(?:\d+\s+)?(?:of\s+)?(?:ditto|do\.?)\s*$", "")
+    return _replaced(c, [(DITTO, "")])
 
 
 def normalize_dashes(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, "[-–—]{2,}", "----"), "(----)([A-Za-z])", "$1 $2")
+    return _replaced(c, DASHES)
 
 
 def standardize_initials(c: Column) -> Column:
     """Initials with periods and spaces."""
-    c = F.regexp_replace(c, r"(?U)\b([A-Z])\.\s*([A-Z])\.", "$1. $2.")
-    c = F.regexp_replace(c, r"(?U)\b([A-Z])\s(?=[A-Z][.\s])", "$1. ")
-    return F.regexp_replace(c, r"(?<=\. )([A-Z]) (?=[A-Z])", "$1. ")
+    return _replaced(c, INITIALS)
 
 
 def strip_trailing(c: Column) -> Column:
@@ -185,8 +190,7 @@ def strip_trailing(c: Column) -> Column:
 
 def clean_periods(c: Column) -> Column:
     """Double periods, and periods after words that are no abbreviations."""
-    words = "|".join(WHOLE_WORDS)
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)\.\s*\.", "."), rf"(?iU)\b({words})\.\s", "$1 ")
+    return _replaced(c, PERIODS)
 
 
 def strip_geographic_of(c: Column) -> Column:

@@ -53,6 +53,7 @@ def _any(values: Iterable[str]) -> str:
     return "|".join(v if "\\" in v else v.replace(".", r"\.") for v in values)
 
 
+#: Forms of titles, of names after a title, and of offices within a name.
 _POSITIONAL = rf"(?iU)^({_any(RANKS)})\s+of\s+(.+)$"
 _EMBEDDED = rf"(?iU)({_any(RANKS)})\s+of\s+(.+)$"
 _BARE_LORD = r"^(Lord|Lady)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)$"
