@@ -7,6 +7,7 @@ What holds corrects the declared type, or is carved out of what surrounds it.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import struct
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import extended
+from rollcall.llm.common import extended, others, quoted
 
 UNKNOWN = "application/octet-stream"
 
@@ -41,6 +42,32 @@ SIGNATURES = [
 ]
 
 
+#: Marks that end a medium or tell that it has contents.
+MARKS = [b"%%EOF", b" obj", b"%PDF-", b"PK\x05\x06", b"\xff\xd9"]
+
+
+class Marks:
+    """Places of the marks in a value, found in one pass and looked up by bisection."""
+
+    def __init__(self):
+        self.places: dict[bytes, list[int]] = {mark: [] for mark in MARKS}
+
+    def add(self, mark: bytes, place: int) -> None:
+        self.places[mark].append(place)
+
+    def first(self, mark: bytes, start: int) -> int | None:
+        """The first place of the mark from ``start`` on."""
+        places = self.places[mark]
+        k = bisect.bisect_left(places, start)
+        return places[k] if k < len(places) else None
+
+    def last(self, mark: bytes, end: int) -> int | None:
+        """The last place of the mark before ``end``."""
+        places = self.places[mark]
+        k = bisect.bisect_left(places, end)
+        return places[k - 1] if k else None
+
+
 def _png(data: memoryview) -> int:
     at = 8
     while at + 12 <= len(data):
@@ -77,15 +104,14 @@ def _gif(data: memoryview) -> int:
     return 0
 
 
-def _jpeg(data: memoryview) -> int:
+def _jpeg(data: memoryview, start: int, marks: Marks) -> int:
     at = 2
     while at + 4 <= len(data) and data[at] == 0xFF:
         kind = data[at + 1]
         at += 2 + struct.unpack_from(">H", data, at + 2)[0]
         if kind == 0xDA:  # coded data: ends at a marker that is neither stuffing nor a restart
-            raw = bytes(data[at:])
-            end = raw.find(b"\xff\xd9")
-            return at + end + 2 if end >= 0 else 0
+            end = marks.first(b"\xff\xd9", start + at)
+            return end - start + 2 if end is not None else 0
     return 0
 
 
@@ -110,23 +136,22 @@ def _bmp(data: memoryview) -> int:
     return size if sound and offset + abs(height) * ((width * bits + 31) // 32 * 4) <= size <= len(data) else 0
 
 
-def _pdf(data: memoryview) -> int:
-    raw = bytes(data)
-    end = raw.find(b"%%EOF")
-    if end < 0 or raw.find(b" obj", 0, end) < 0:
+def _pdf(data: memoryview, start: int, marks: Marks) -> int:
+    end = marks.first(b"%%EOF", start)
+    if end is None or (marks.first(b" obj", start) or end) >= end:
         return 0
-    while (more := raw.find(b"%%EOF", end + 5)) >= 0 and raw.find(b"%PDF-", end + 5, more) < 0:
-        end = more
-    return end + 5
+    following = marks.first(b"%PDF-", end + 5)
+    last = marks.last(b"%%EOF", len(data) + start if following is None else following)
+    return last - start + 5
 
 
-def _zip(data: memoryview) -> int:
-    raw = bytes(data)
-    end = raw.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(raw):
+def _zip(data: memoryview, start: int, marks: Marks) -> int:
+    end = marks.first(b"PK\x05\x06", start)
+    if end is None or end - start + 22 > len(data):
         return 0
-    size, offset, note = struct.unpack_from("<IIH", raw, end + 12)
-    return end + 22 + note if offset + size == end and end + 22 + note <= len(raw) else 0
+    size, offset, note = struct.unpack_from("<IIH", data, end - start + 12)
+    whole = end - start + 22 + note
+    return whole if offset + size == end - start and whole <= len(data) else 0
 
 
 def _gzip(data: memoryview) -> int:
@@ -173,32 +198,47 @@ def _ogg(data: memoryview) -> int:
     return at
 
 
-VALIDATORS = {
-    "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "application/pdf": _pdf,
-    "application/zip": _zip, "application/gzip": _gzip, "video/mp4": _mp4, "audio/flac": _flac, "audio/ogg": _ogg,
+#: Validators that read on from the start of a medium, and those that look for a mark further on.
+READERS = {
+    "image/png": _png, "image/gif": _gif, "image/bmp": _bmp, "application/gzip": _gzip, "video/mp4": _mp4, "audio/flac": _flac, "audio/ogg": _ogg,
     "audio/wav": functools.partial(_riff, b"WAVE", b"fmt "), "image/webp": functools.partial(_riff, b"WEBP", None),
     "video/avi": functools.partial(_riff, b"AVI ", b"LIST"),
 }
+SEEKERS = {"image/jpeg": _jpeg, "application/pdf": _pdf, "application/zip": _zip}
 
 
 @functools.cache
 def _automaton():
-    found = ahocorasick.Automaton()
+    """Signatures and marks; what is found is (bytes back to the start, type or None, mark or None)."""
+    told = {mark: (len(mark), None, mark) for mark in MARKS}
     for magic, offset, kind in SIGNATURES:
-        found.add_word(magic.decode("latin-1"), (len(magic) + offset, kind))
+        told[magic] = (len(magic) + offset, kind, magic if magic in MARKS else None)
+    found = ahocorasick.Automaton()
+    for magic, what in told.items():
+        found.add_word(magic.decode("latin-1"), what)
     found.make_automaton()
     return found
 
 
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
-    """(type, offset, length) of each medium in ``data``; media within a medium follow it."""
-    view, out, tried = memoryview(data), [], set()
-    for end, (back, kind) in _automaton().iter(data.decode("latin-1")):
-        start = end + 1 - back
-        if start >= 0 and (start, kind) not in tried:
-            tried.add((start, kind))
-            if length := VALIDATORS[kind](view[start:]):
-                out.append((kind, start, length))
+    """(type, offset, length) of each medium in ``data``; media within a medium follow it.
+
+    One pass finds signatures and marks. A validator reads on from its signature
+    or looks marks up, so that no hit makes it search the rest of the value.
+    """
+    view, out, starts, marks = memoryview(data), [], {}, Marks()
+    for end, (back, kind, mark) in _automaton().iter(data.decode("latin-1")):
+        if mark is not None:
+            marks.add(mark, end + 1 - len(mark))
+        if kind is not None and end + 1 - back >= 0:
+            starts[end + 1 - back, kind] = None
+    for start, kind in starts:
+        if kind in READERS:
+            length = READERS[kind](view[start:])
+        else:
+            length = SEEKERS[kind](view[start:], start, marks)
+        if length:
+            out.append((kind, start, length))
     return sorted(out, key=lambda x: (x[1], -x[2], x[0]))
 
 
@@ -223,6 +263,29 @@ def wav_samples(data: bytes) -> bytes:
 _MEDIA = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("bytes", pa.binary())]))
 
 
+#: Bytes of values that are held at once.
+BATCH_BYTES = 16_000_000
+
+
+def _slices(sizes: list[int], most: int = BATCH_BYTES):
+    """(from, to) of runs of values of about ``most`` bytes; a value that is larger is a run of its own."""
+    lo = held = 0
+    for k, size in enumerate(sizes):
+        if held and held + size > most:
+            yield lo, k
+            lo, held = k, 0
+        held += size + 64
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def describe(data: bytes, claim: str | None) -> tuple[str, bool, list[tuple[str, int, int]]]:
+    """The type of a value, whether it is another than claimed, and all media in it."""
+    found = sniff(data)
+    kind = next((k for k, start, size in found if start == 0 and size == len(data)), UNKNOWN)
+    return kind, kind != claim, found
+
+
 def sniff_media(rows: DataFrame, content: str = "content", declared: str = "declared", carve: bool = True) -> DataFrame:
     """``rows`` plus ``media_type``, ``type_corrected`` and ``media``, one row per row.
 
@@ -232,48 +295,61 @@ def sniff_media(rows: DataFrame, content: str = "content", declared: str = "decl
     offset and length, and with their bytes if ``carve`` is set.
 
     A null or empty value has no media. A null declared type counts as
-    different. Columns named like the new ones are replaced.
+    different. Repeated rows are treated alike. Columns named like the new ones,
+    in whatever case, are replaced. An empty table gives an empty result. Long
+    values are read whole, a bounded number of bytes at once.
     """
     fresh = ("media_type", "type_corrected", "media")
-    kept = rows.select(*[F.col(c) for c in rows.columns if c not in fresh])
+    kept = rows.select(*[F.col(quoted(c)) for c in others(rows.columns, fresh)])
     value, said = kept.columns.index(content), kept.columns.index(declared)
     schema = extended(kept.schema, "media_type string, type_corrected boolean, media array<struct<type:string,offset:bigint,length:bigint,bytes:binary>>")
 
     def run(batches):
         for batch in batches:
-            kinds, wrong, media = [], [], []
-            for data, claim in zip(batch.column(value).to_pylist(), batch.column(said).to_pylist(), strict=True):
-                found = sniff(data or b"")
-                kinds.append(next((k for k, start, size in found if start == 0 and size == len(data)), UNKNOWN))
-                wrong.append(kinds[-1] != claim)
-                media.append([{"type": k, "offset": s, "length": n, "bytes": data[s : s + n] if carve else None} for k, s, n in found])
-            columns = [*batch.columns, pa.array(kinds, pa.string()), pa.array(wrong, pa.bool_()), pa.array(media, _MEDIA)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *fresh])
+            for lo, hi in _slices([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(value)]):
+                part = batch.slice(lo, hi - lo)
+                kinds, wrong, media = [], [], []
+                for data, claim in zip(part.column(value).to_pylist(), part.column(said).to_pylist(), strict=True):
+                    kind, differs, found = describe(data or b"", claim)
+                    kinds.append(kind)
+                    wrong.append(differs)
+                    media.append([{"type": k, "offset": s, "length": n, "bytes": data[s : s + n] if carve else None} for k, s, n in found])
+                columns = [*part.columns, pa.array(kinds, pa.string()), pa.array(wrong, pa.bool_()), pa.array(media, _MEDIA)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *fresh])
 
     return kept.mapInArrow(run, schema)
 
 
 def payload(text: str | None, unit: int = 64) -> bytes:
+    """The text's UTF-8 bytes, filled with 0 to a positive multiple of ``unit``; of a null text, those of an empty one."""
     data = (text or "").encode("utf-8", "surrogatepass")
     return data + b"\0" * (max(unit, -(-len(data) // unit) * unit) - len(data))
 
 
+#: What a text column claims to hold.
+TEXT_TYPE = "text/plain"
+
+
 def text_media(docs: DataFrame, unit: int = 64) -> DataFrame:
-    """``docs`` plus ``content``: the text's UTF-8 bytes, filled with 0 to a positive multiple of ``unit``, as a WAV file.
+    """``docs`` plus ``n_bytes``, ``content`` (the text's payload as a WAV file) and ``declared``, one row per row.
 
-    A null text counts as empty. The declared type is a claim that the sniffer
-    is to check.
+    A null text counts as empty. ``declared`` is what the column claims,
+    ``text/plain``, which the sniffer corrects. Repeated rows are treated alike,
+    columns named like the new ones are replaced, and an empty table gives an
+    empty result.
     """
-    kept = docs.select(*[F.col(c) for c in docs.columns if c not in ("content", "declared", "n_bytes")])
+    fresh = ("n_bytes", "content", "declared")
+    kept = docs.select(*[F.col(quoted(c)) for c in others(docs.columns, fresh)])
     place = kept.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            sizes = pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
-            content = pa.array([wav(payload(t, unit)) for t in texts], pa.large_binary()).cast(pa.binary())
-            claims = pa.array([UNKNOWN] * len(texts), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sizes, content, claims], names=[*batch.schema.names, "n_bytes", "content", "declared"])
+            for lo, hi in _slices([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(place)]):
+                part = batch.slice(lo, hi - lo)
+                texts = part.column(place).to_pylist()
+                sizes = pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
+                content = pa.array([wav(payload(t, unit)) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, sizes, content, pa.array([TEXT_TYPE] * len(texts), pa.string())], names=[*batch.schema.names, *fresh])
 
     return kept.mapInArrow(run, extended(kept.schema, "n_bytes bigint, content binary, declared string"))
 
@@ -281,23 +357,40 @@ def text_media(docs: DataFrame, unit: int = 64) -> DataFrame:
 _DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def media_digest(media: DataFrame) -> DataFrame:
-    """Digests of sniffed WAV rows (doc_id, n_bytes, content, media_type, media), from the samples read back."""
+def digest(text: str | None, unit: int = 64) -> tuple:
+    """The digests of one text: it is stored as WAV, sniffed, and its samples are read back."""
+    stored = wav(payload(text, unit))
+    kind, corrected, found = describe(stored, TEXT_TYPE)
+    if kind != "audio/wav" or not corrected:
+        raise ValueError(f"stored as WAV, found {kind}")
+    samples = wav_samples(stored)
+    values = np.frombuffer(samples, np.uint8)
+    crossings = int(np.count_nonzero((values[1:] >= 128) != (values[:-1] >= 128)))
+    carved = hashlib.sha256()
+    for _, start, size in found[1:]:
+        carved.update(stored[start : start + size])
+    feature = f"{TEXT_TYPE}>{kind};samples={len(values)};sum={int(values.sum())};peak={int(values.max())};crossings={crossings};embedded={len(found) - 1}"
+    feature += f";carved={carved.hexdigest()}" if len(found) > 1 else ""
+    n_bytes = len((text or "").encode("utf-8", "surrogatepass"))
+    return n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+
+
+def media_digests(docs: DataFrame, unit: int = 64) -> DataFrame:
+    """Digests of the texts of ``docs`` (doc_id, text) as media: the columns that ``_DIGEST`` names, one row per row.
+
+    What ``text_media`` and ``sniff_media`` make of a text is made here in one
+    pass, and only its digests leave the task. Equal texts have equal digests,
+    repeated rows come back as often as they came, a null text counts as empty,
+    other columns are ignored, and an empty table gives an empty result.
+    """
+    fields = [part.split() for part in _DIGEST.split(", ")]
+    kinds = [pa.string() if kind == "string" else pa.int64() for _, kind in fields]
 
     def run(batches):
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                data = row["content"]
-                if row["media_type"] != "audio/wav":
-                    raise ValueError(f"stored as WAV, found {row['media_type']}")
-                samples = wav_samples(data)
-                values = np.frombuffer(samples, np.uint8)
-                crossings = int(np.count_nonzero((values[1:] >= 128) != (values[:-1] >= 128)))
-                feature = f"{row['media_type']};samples={len(values)};sum={int(values.sum())};peak={int(values.max())};crossings={crossings};embedded={len(row['media']) - 1}"
-                out.append((row["doc_id"], row["n_bytes"], len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            names = [part.split()[0] for part in _DIGEST.split(", ")]
-            kinds = [pa.string() if part.endswith("string") else pa.int64() for part in _DIGEST.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
-
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "content", "media_type", "media").mapInArrow(run, _DIGEST)
+            for lo, hi in _slices([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)]):
+                out = [digest(text.as_py(), unit) for text in batch.column(1).slice(lo, hi - lo)]
+                columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], names=[name for name, _ in fields])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _DIGEST)

@@ -11,9 +11,9 @@ from rollcall.llm.jaccard_join import jaccard_components
 from rollcall.llm.language_id import fit_languages, held_out, identify_languages
 from rollcall.llm.licence_scan import scan_licences
 from rollcall.llm.line_dedup import drop_repeated_lines
-from rollcall.llm.media_sniff import media_digest, sniff_media, text_media
+from rollcall.llm.media_sniff import media_digests
 from rollcall.llm.mixing import mixing_plan
-from rollcall.llm.sharding import assign_shards
+from rollcall.llm.sharding import assign_shards, map_path
 from rollcall.llm.surrogates import replace_entities
 
 
@@ -53,13 +53,13 @@ def op5_licence_scan(spark, sf_dir):
 
 def op6_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    sharded = assign_shards(docs, shards=8)
+    sharded = assign_shards(docs, shards=8, path=map_path(spark, sf_dir, "documents"))
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op7_media_columns(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return media_digest(sniff_media(text_media(docs, unit=64), carve=True))
+    return media_digests(docs, unit=64)
 
 
 def op8_jaccard_join(spark, sf_dir):
