@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import PLAIN_WORD, bounded_broadcast, saved
+from rollcall.llm.common import PLAIN_WORD, others, quoted, saved
 
 WEIGHTS = (3, 1, 2)
+#: Sources, the largest ones, whose targets are broadcast; documents of all others meet theirs by a shuffle.
+BROADCAST_SOURCES = 50_000
+FRESH = ("size", "source_size", "target", "copies")
 
 
 def n_tokens(text: Column) -> Column:
@@ -57,28 +60,38 @@ def mixing_plan(docs: DataFrame, weights=WEIGHTS, percent: int = 150, most: int
     Each document is to be given floor(rate) times, rate being its source's
     target over its source's size, and once more if its draw is below the
     fraction. ``docs`` has ``doc_id``, ``text`` and ``source``; of other columns
-    those named like the new ones are replaced.
+    those named like the new ones, in whatever case, are replaced.
 
     A null or empty text has size 0; a source of such texts only has target 0
     and gives no copies. Null is a source of its own. Repeated rows are drawn
     alike; rows without doc_id are drawn by their text. An empty table gives an
     empty result.
     """
-    targets = saved(source_targets(docs, weights, percent, most), "mixing-targets")
-    targets = bounded_broadcast(targets.withColumnsRenamed({"source": "__source", "source_size": "__source_size", "target": "__target"}))
-    out = docs.join(targets, F.col("source").eqNullSafe(F.col("__source")))
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    kept = others(docs.columns, FRESH)
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in kept]).alias("doc"), "doc_id", "text", F.col("source").alias("of"))
+    return _planned(rows, docs, weights, percent, most, seed).select("doc.*", *FRESH)
+
+
+def _planned(rows: DataFrame, docs: DataFrame, weights, percent: int, most: int, seed: str) -> DataFrame:
+    """``rows`` (doc, doc_id, text, of) of ``docs`` with the plan's columns, those of sources beyond the largest ones by a shuffle."""
+    targets = saved(source_targets(docs, weights, percent, most), "mixing-targets").withColumnRenamed("source", "its")
+    same = F.col("of").eqNullSafe(F.col("its"))
+    largest = targets.orderBy(F.desc("source_size"), "its").limit(BROADCAST_SOURCES)
+    rest = targets.join(largest.select(F.col("its").alias("of")), same, "left_anti")
+    near = rows.join(F.broadcast(largest), same)
+    far = rows.join(F.broadcast(largest.select("its")), same, "left_anti").join(rest, same)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     again = (draw(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate)).cast("long")
-    fresh = ("size", "source_size", "target", "copies")
-    return out.select(
-        *[F.col(c) for c in docs.columns if c not in fresh],
-        n_tokens(F.col("text")).alias("size"), F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"), (F.floor(rate) + again).alias("copies"),
-    )
+    copies = (F.floor(rate) + again).alias("copies")
+    return near.unionByName(far).select("doc", n_tokens(F.col("text")).alias("size"), "source_size", "target", copies)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, percent: int = 150, most: int = 2, seed: str = "mix-1:") -> DataFrame:
-    """The mixed documents: each row of ``docs`` as often as ``mixing_plan`` says, with the columns of ``docs``."""
-    plan = mixing_plan(docs.select(F.struct("*").alias("__doc"), "doc_id", "text", "source"), weights, percent, most, seed)
-    plan = plan.where("copies > 0").select("__doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
-    return plan.select("__doc.*")
+    """The mixed documents: each row of ``docs`` as often as ``mixing_plan`` says, with the columns of ``docs``.
+
+    Rows of size 0 have no part in any target but are drawn like others of
+    their source. An empty table gives an empty result.
+    """
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "text", F.col("source").alias("of"))
+    plan = _planned(rows, docs, weights, percent, most, seed).where("copies > 0")
+    return plan.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("doc.*")
