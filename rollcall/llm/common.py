@@ -53,12 +53,6 @@ def sieve(rows: DataFrame, keys: DataFrame, on: str = "k1") -> tuple[DataFrame,
     return tuple(marked.where(x).drop("sieve_place", "sieve_word") for x in (hit, ~hit))
 
 
-def bounded_broadcast(df: DataFrame, rows: int | None = None, limit: int = 200_000) -> DataFrame:
-    """Mark ``df`` for broadcast only if it has at most ``limit`` rows; a shuffle join does the rest."""
-    rows = df.limit(limit + 1).count() if rows is None else rows
-    return F.broadcast(df) if rows <= limit else df
-
-
 def others(columns: list[str], taken) -> list[str]:
     """The columns but those named like one of ``taken``, in whatever case."""
     names = {t.lower() for t in taken}

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import heapq
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rollcall.llm.common import saved
+from rollcall.llm.common import others, quoted, shared_dir
 
 SLOTS = 4096
+FRESH = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 _MAP_SCHEMA = "version int, slot int, shard int, rows bigint, bytes bigint, start bigint"
 
 
@@ -38,15 +40,25 @@ class SlotMap:
         return out
 
     def write(self, spark: SparkSession, path: str) -> None:
-        """Append this version to the stored map."""
-        spark.createDataFrame(self.rows(), _MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        """Store this version in its own folder under ``path``; a version that is there already is an error."""
+        spark.createDataFrame(self.rows(), _MAP_SCHEMA).coalesce(1).write.parquet(f"{path}/v{self.version}")
+
+    @staticmethod
+    def versions(spark: SparkSession, path: str) -> list[int]:
+        """The versions under ``path`` whose write was completed."""
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return []
+        there = [entry.getPath() for entry in files.listStatus(root)]
+        done = [p.getName() for p in there if files.exists(root.suffix(f"/{p.getName()}/_SUCCESS"))]
+        return sorted(int(name[1:]) for name in done if name[1:].isdigit())
 
     @staticmethod
     def read(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """The given or else the latest version of a stored map."""
-        stored = spark.read.schema(_MAP_SCHEMA).parquet(path)
-        version = stored.agg(F.max("version")).first()[0] if version is None else version
-        rows = sorted(stored.where(F.col("version") == version).collect(), key=lambda r: r.slot)
+        version = SlotMap.versions(spark, path)[-1] if version is None else version
+        rows = sorted(spark.read.schema(_MAP_SCHEMA).parquet(f"{path}/v{version}").collect(), key=lambda r: r.slot)
         return SlotMap(version, tuple(r.shard for r in rows), tuple((r.rows, r.bytes) for r in rows))
 
 
@@ -113,31 +125,54 @@ def rebalance(old: SlotMap, loads, shards: int) -> SlotMap:
     return SlotMap(old.version + 1, tuple(dealt), tuple(loads))
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, slots: int = SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
+def map_path(spark: SparkSession, folder: str, name: str) -> str:
+    """Where the map of a table is kept: one stable path for each folder of tables and name."""
+    return f"{shared_dir(spark)}/slot-maps/{re.sub('[^A-Za-z0-9.]+', '-', folder).strip('-')}/{name}"
+
+
+def current_map(spark: SparkSession, loads, shards: int, path: str | None) -> SlotMap:
+    """The map to use: the latest one stored under ``path``, edited and stored as a new version if loads or shards have changed."""
+    if path is None:
+        return plan_slots(loads, shards)
+    if not SlotMap.versions(spark, path):
+        found = plan_slots(loads, shards)
+    else:
+        found = SlotMap.read(spark, path)
+        if found.loads == loads and max(found.shards) < shards <= 1 + max(found.shards):
+            return found
+        if len(found.loads) != len(loads):
+            raise ValueError(f"the map in {path} has {len(found.loads)} slots, not {len(loads)}: slots are fixed")
+        found = rebalance(found, loads, shards)
+    found.write(spark, path)
+    return found
+
+
+def assign_shards(docs: DataFrame, shards: int = 8, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """``docs`` plus ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard``, one row per row.
 
     The law is ``bytes``: the shards' sizes are near equal. ``slot`` is the
     row's place within its shard, from 0 without gaps; ``grown_shard`` is null
-    under this law. Without ``slot_map`` one is planned from the documents and
-    stored in the shared folder.
+    under this law. The slot map is the latest one stored under ``path``; if the
+    loads of the slots or the number of shards have changed, it is edited and
+    stored as the next version. Without ``path`` a map is planned for this call.
 
     A null text has size 1 and the checksum of no bytes. Rows without doc_id go
     by their text. Repeated rows go to one slot, each with a place of its own.
-    Columns of ``docs`` named like the new ones are replaced. An empty table
-    gives an empty result.
+    Columns of ``docs`` named like the new ones, in whatever case, are replaced.
+    An empty table gives an empty result. Texts are moved once, to their slot.
     """
-    slot_map = slot_map or plan_slots(slot_loads(docs, slots), shards)
     spark = docs.sparkSession
-    stored = saved(spark.createDataFrame(slot_map.rows(), _MAP_SCHEMA).coalesce(1), "sharding-map")
-    dealt = F.broadcast(stored.select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"), F.col("start").alias("__start")))
-    fresh = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    kept = [c for c in docs.columns if c not in fresh]
+    slot_map = current_map(spark, slot_loads(docs, slots), shards, path)
+    kept = others(docs.columns, FRESH)
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = docs.select(*kept, document_size(F.col("text")).alias("size"), crc.alias("text_crc32"),
-                       virtual_slot(F.col("doc_id"), F.col("text"), len(slot_map.shards)).alias("__slot"))
-    place = F.row_number().over(Window.partitionBy("__slot").orderBy("doc_id", "text_crc32", "size"))
-    rows = rows.withColumn("__place", place).join(dealt, "__slot")
+    rows = docs.select(
+        F.struct(*[F.col(quoted(c)) for c in kept]).alias("doc"), F.col("doc_id").alias("by"), document_size(F.col("text")).alias("size"),
+        crc.alias("text_crc32"), virtual_slot(F.col("doc_id"), F.col("text"), slots).alias("virtual"),
+    )
+    place = F.row_number().over(Window.partitionBy("virtual").orderBy("by", "text_crc32", "size"))
+    dealt = spark.createDataFrame(slot_map.rows(), _MAP_SCHEMA).select(F.col("slot").alias("virtual"), "shard", "start")
+    rows = rows.withColumn("place", place).join(F.broadcast(dealt), "virtual")  # as many rows as there are slots
     return rows.select(
-        *kept, "size", "text_crc32", F.lit("bytes").alias("law"), F.col("__shard").alias("shard"),
-        (F.col("__start") + F.col("__place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        "doc.*", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        (F.col("start") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
