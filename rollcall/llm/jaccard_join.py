@@ -38,8 +38,8 @@ FRAGMENT_BITS = 2
 PIVOTS, MORE_PIVOTS = 8, 4
 #: Words of a sketch, 64 bits each.
 SKETCH = tuple(f"s{k}" for k in range(8))
-#: Members of a list that meet its pivots in one task.
-LIST_ROWS = 512
+#: Members of a list that meet its pivots in one task, and tasks over which the members of a group are spread.
+LIST_ROWS, GROUP_WAYS = 512, 16
 #: Texts that are hashed at once.
 BATCH_CHARS = 1_500_000
 
@@ -241,7 +241,8 @@ def _components(ranked: DataFrame, percent: int) -> DataFrame | None:
         sets = sieve(ranked.select("node", "shared"), lists.select("node"), "node")[0]  # of few classes after the first round
         links = saved(_links(_pairs(lists, done, pivots, percent), sets, percent).select("p", "x", "cp", "cx"), "jaccard-links")
         every.append(links.select(F.col("p").alias("u"), F.col("x").alias("v")))
-        fresh = lists.join(_hooked(links), "comp", "left").withColumn("comp", F.coalesce("hook", "comp")).drop("hook")
+        hooks = _hooked(links).withColumn("salt", copies(GROUP_WAYS))
+        fresh = lists.withColumn("salt", dealt("node", GROUP_WAYS)).join(hooks, ["comp", "salt"], "left").withColumn("comp", F.coalesce("hook", "comp")).drop("hook", "salt")
         after = saved(_open(fresh, pivots), "jaccard-lists")
         discard(lists)
         lists = after
