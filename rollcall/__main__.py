@@ -62,7 +62,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif said.command == "dedupe":
         parsed = _ordered(read_csv(spark, f"{out}/{run.FILES['parsed']}"))
         matches = run.run_match(spark, config, parsed)
-        run.write_run({"parsed": parsed, "matches": matches, "deduplicated": run.run_apply(parsed, matches), "conflicts": run.mapping_conflicts(matches)}, out)
+        run.write_run({"parsed": parsed, "matches": matches, "deduplicated": run.run_apply(parsed, matches), "conflicts": run.mapping_conflicts(matches)}, out, there=("parsed",))
     elif said.command == "all":
         run.write_run(run.run_all(spark, config), out)
     elif said.command == "graph":
@@ -71,7 +71,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif said.command == "apply":
         parsed = _ordered(read_csv(spark, f"{out}/{run.FILES['parsed']}"))
         matches = run.saved(run.with_ledger(spark, config, _matches(spark, out)), "matches")
-        run.write_run({"parsed": parsed, "matches": matches, "deduplicated": run.run_apply(parsed, matches), "conflicts": run.mapping_conflicts(matches)}, out)
+        run.write_run({"parsed": parsed, "matches": matches, "deduplicated": run.run_apply(parsed, matches), "conflicts": run.mapping_conflicts(matches)}, out, there=("parsed",))
     elif said.command == "harvest":
         run.run_harvest(spark, config, _ordered(read_csv(spark, said.candidates or candidates)))
     elif said.command == "review":

@@ -145,11 +145,14 @@ FILES = {
 MATCH_FILES = ("title-matches.csv", "title-candidates.csv", "matches.csv", "candidates.csv")
 
 
-def write_run(out: dict[str, DataFrame], folder: str) -> list[str]:
-    """Write what a run has found, as CSV, GraphML and SVG; returns the paths. Matches go to a file for each kind, in row order."""
+def write_run(out: dict[str, DataFrame], folder: str, there: tuple[str, ...] = ()) -> list[str]:
+    """Write what a run has found, as CSV, GraphML and SVG; returns the paths. Matches go to a file for each kind, in row order.
+
+    Tables named in ``there`` were read from the folder and are not written.
+    """
     done = []
     for name, file in FILES.items():
-        if name in out:
+        if name in out and name not in there:
             done.append(f"{folder}/{file}")
             write_csv(out[name], done[-1], single=True)
     if "matches" in out:

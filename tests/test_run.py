@@ -7,9 +7,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from rollcall.__main__ import main
 from rollcall.functions.text import changed, normalize_name
 from rollcall.operators.parse import parse_names
-from rollcall.plans.run import Config, run_all
+from rollcall.plans.run import FILES, MATCH_FILES, Config, run_all
 from rollcall.sources import sinks
 from rollcall.sources.tables import MissingColumns, assert_columns, read_csv, read_graphml, read_optional, read_pairs, read_words, scan_lists
 
@@ -64,6 +65,43 @@ def test_run(spark, folder, tmp_path):
     assert sinks.counters(out["parsed"], titled="name_type = 'titled'").first().asDict() == {"rows": 8, "titled": 5}
 
 
+def test_command_line(spark, folder, tmp_path, capsys):
+    """A run that writes its files, a review of what waits, its harvest, and a second run that the ledger decides."""
+    (tmp_path / "more").mkdir()
+    with (Path(folder) / "e.csv").open("w", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(["no.", "listed as", "book", "author", "edition", "year"])
+        out.writerows([("1", "Mr. Elphin Oak", "Elegies", "Vale", "1", "1790"), ("2", "Mr. Peter Hollis", "Elegies", "Vale", "1", "1790")])
+    with (Path(folder) / "f.csv").open("w", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(["no.", "listed as", "book", "author", "edition", "year"])
+        out.writerows([("1", "Mr. Elphon Oak", "Elegies", "Vale", "2", "1791"), ("2", "Mr. Peter Holliss", "Elegies", "Vale", "2", "1791")])
+    config, done = tmp_path / "more" / "run.toml", tmp_path / "more" / "out"
+    config.write_text(f'lists = "{folder}"\nledger = "{tmp_path}/more/ledger.csv"\n')
+    run = lambda *args: main([*args, "--config", str(config), "--out", str(done)], spark)
+    run("all")
+    assert {p.name for p in done.iterdir()} >= {*FILES.values(), *MATCH_FILES, "graph.graphml", "ring.svg"}
+    assert (done / "ring.svg").read_text().startswith("<svg") and read_csv(spark, str(done / "candidates.csv")).count() > 0
+    run("review")
+    assert "Elphin Oak" in capsys.readouterr().out
+    waiting = read_csv(spark, str(done / "candidates.csv")).where("normalized_name like '%Oak'").first().group_id
+    run("review", "--group", waiting, "--action", "y")
+    run("harvest")
+    ledger = read_csv(spark, str(tmp_path / "more" / "ledger.csv")).collect()
+    assert [(r.verdict, {r.name_a, r.name_b}) for r in ledger] == [("y", {"Mr. Elphin Oak", "Mr. Elphon Oak"})]
+    run("dedupe")
+    run("apply")
+    persons = {r.normalized_name: r.person_id for r in read_csv(spark, str(done / "deduplicated.csv")).collect()}
+    assert persons["Mr. Elphin Oak"] == persons["Mr. Elphon Oak"]
+    run("report", "--limit", "1")
+    assert "John Birch" in capsys.readouterr().out
+    assert read_csv(spark, str(done / "edition-candidates.csv")).where("arr_label like '%Holliss'").count() == 1
+    bad = tmp_path / "more" / "bad.toml"
+    bad.write_text("list = 1\n")
+    with pytest.raises(ValueError, match="unknown settings"):
+        Config.load(spark, str(bad))
+
+
 def beside(*columns):
     """A CSV file of a folder beside the repository that has the columns, the first by name; None if there is none."""
     top = Path(__file__).resolve().parents[2]
