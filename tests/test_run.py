@@ -95,7 +95,7 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert persons["Mr. Elphin Oak"] == persons["Mr. Elphon Oak"]
     run("report", "--limit", "1")
     assert "John Birch" in capsys.readouterr().out
-    assert read_csv(spark, str(done / "edition-candidates.csv")).where("arr_label like '%Holliss'").count() == 1
+    assert read_csv(spark, str(done / "edition-candidates.csv")).where("arr_label like '%Holliss%'").count() == 1
     bad = tmp_path / "more" / "bad.toml"
     bad.write_text("list = 1\n")
     with pytest.raises(ValueError, match="unknown settings"):
