@@ -23,7 +23,7 @@ from rollcall.operators.parse import parse_names
 from rollcall.operators.titles import match_titles
 from rollcall.sources.shared import saved
 from rollcall.sources.sinks import ring_svg, write_csv, write_graphml, write_ledger, write_lines
-from rollcall.sources.tables import HOLDERS, LEDGER, OVERRIDES, SHORT_TITLES, exists, filter_author, read_csv, read_optional, read_pairs, read_words, scan_lists, with_group_order
+from rollcall.sources.tables import HOLDERS, LEDGER, OVERRIDES, SHORT_TITLES, exists, filter_author, read_optional, read_pairs, read_words, scan_lists, with_group_order
 
 
 @dataclass(frozen=True)
