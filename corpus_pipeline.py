@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import saved, table
+from rollcall.llm.common import others, quoted, saved, table
 from rollcall.llm.decontaminate import decontaminate
 from rollcall.llm.jaccard_join import one_per_group
 from rollcall.llm.language_id import accepted, fit_languages, identify_languages
@@ -21,8 +21,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Repeated rows stay or go together, an empty table stays empty, and other
     columns are kept, whatever they are called.
     """
-    found = identify_languages(docs.select(F.struct("*").alias("doc"), "text"), fit_languages(docs.select("doc_id", "text", "lang")))
-    return found.where(accepted(F.col("score"), F.col("lang_pred"))).select("doc.*")
+    rest = F.struct(F.lit(0).alias("none"), *[F.col(quoted(c)) for c in others(docs.columns, ["text"])])
+    found = identify_languages(docs.select(rest.alias("doc"), "text"), fit_languages(docs.select("doc_id", "text", "lang")))
+    kept = [F.col("text") if c.lower() == "text" else F.col(f"doc.{quoted(c)}") for c in docs.columns]
+    return found.where(accepted(F.col("score"), F.col("lang_pred"))).select(*kept)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
