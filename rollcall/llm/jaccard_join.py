@@ -16,11 +16,15 @@ differs in no more bits than the sets do in n-grams. Pivots are the members
 with the smallest random ids, 8 of a list in the first round and 4 times as
 many in each further one, so that a list of any length is done after a few
 rounds: every pair has met, or was linked through others, or cannot be linked.
+What is left of the lists is paired off in one round once that takes few pairs,
+and few links become components in one task, as each round costs the driver
+dozens of jobs however few rows it is about.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,8 @@ from rollcall.operators.skew import copies, dealt, spread_join
 FRAGMENT_BITS = 2
 #: Pivots of a list in the first round, and how many times more there are in each further round.
 PIVOTS, MORE_PIVOTS = 8, 4
+#: Pairs that one last round may have to look at, and links that one task may turn into components; more go in rounds.
+LAST_PAIRS, TOGETHER = 1 << 18, 100_000
 #: Words of a sketch, 64 bits each.
 SKETCH = tuple(f"s{k}" for k in range(8))
 #: Members of a list that meet its pivots in one task, and tasks over which the members of a group are spread.
@@ -237,10 +243,17 @@ def _components(ranked: DataFrame, percent: int) -> DataFrame | None:
     lists = saved(_lists(ranked), "jaccard-lists")
     every: list[DataFrame] = []
     done, pivots = 0.0, float(PIVOTS)
-    while not lists.isEmpty():
+    while True:
+        left, longest, pairs = lists.agg(F.count(F.lit(1)), F.max("size"), F.sum("size")).first()  # each member meets no more than its list's size
+        if not left:
+            break
+        if pairs <= LAST_PAIRS:
+            pivots = math.inf
         sets = sieve(ranked.select("node", "shared"), lists.select("node"), "node")[0]  # of few classes after the first round
         links = saved(_links(_pairs(lists, done, pivots, percent), sets, percent).select("p", "x", "cp", "cx"), "jaccard-links")
         every.append(links.select(F.col("p").alias("u"), F.col("x").alias("v")))
+        if longest <= pivots:
+            break
         hooks = _hooked(links).withColumn("salt", copies(GROUP_WAYS))
         fresh = lists.withColumn("salt", dealt("node", GROUP_WAYS)).join(hooks, ["comp", "salt"], "left").withColumn("comp", F.coalesce("hook", "comp")).drop("hook", "salt")
         after = saved(_open(fresh, pivots), "jaccard-lists")
@@ -248,7 +261,7 @@ def _components(ranked: DataFrame, percent: int) -> DataFrame | None:
         lists = after
         done, pivots = pivots, pivots * MORE_PIVOTS
     discard(lists)
-    return connected_components(functools.reduce(DataFrame.union, every), "jaccard-components") if every else None
+    return connected_components(functools.reduce(DataFrame.union, every), "jaccard-components", TOGETHER) if every else None
 
 
 def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -100,6 +100,27 @@ def test_jaccard_rounds_of_a_large_cluster(spark, monkeypatch):
     assert sortable(got) == sortable(brute_components(rows, 4, 85))
 
 
+@pytest.mark.parametrize("bounds", [{}, {"LAST_PAIRS": 0}, {"LAST_PAIRS": 0, "TOGETHER": 0}])
+def test_jaccard_rounds_only_where_much_is_left(spark, monkeypatch, bounds):
+    from rollcall.llm import jaccard_join
+    from rollcall.operators import components
+
+    written = []
+    for module in (jaccard_join, components):
+        monkeypatch.setattr(module, "saved", lambda df, name, save=module.saved: (written.append(name), save(df, name))[1])
+    for name, value in {"PIVOTS": 1, "MORE_PIVOTS": 2, **bounds}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    base, rows = prose(4, 80), []
+    for k in range(40):
+        words = base[: 80 - 3 * (k % 9)]
+        rows.append((k, " ".join([*words, *(f"own{k}x{j}" for j in range(k % 7))])))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sortable(got) == sortable(brute_components(rows, 4, 85))
+    rounds, stars = written.count("jaccard-links"), written.count("jaccard-components")
+    assert rounds > 1 if bounds else rounds == 1
+    assert stars > 1 if "TOGETHER" in bounds else stars == 1
+
+
 def test_one_per_group(docs):
     kept = one_per_group(docs, 4, 85)
     want = {c for _, n, c in brute_components(corpus(), 4, 85) if n} | {200, 201, 202}
