@@ -286,3 +286,16 @@ def test_names_keep_their_place_without_a_title_of_the_kind(spark, monkeypatch,
     at = entries_of(spark, rows).withColumns({"first_row": F.col("row_ord"), "free": F.lit(True), "matched": F.lit(True)}).localCheckpoint()
     got = clusters.fuzzy_clusters(at, clusters.name_pairs(at, stripped=False).select("a", "b"), [], 2).collect()
     assert sorted((r.first_row, r.row_ord) for r in got) == [(0, 1), (0, 2), (1, 1), (1, 2)]
+
+
+@pytest.mark.parametrize(("need", "want"), [(float("inf"), [0, 1]), (0.0, [0, 1, 3, 4])])
+def test_entries_of_near_names_are_told_apart_by_places_in_them(need, want):
+    """Across blocks a place that stands in one name matches it, and an unknown place matches none."""
+    import numpy as np
+    import pandas as pd
+
+    lasts, places = ["bell up", *["bell"] * 4], ["", "up", None, "hull", ""]
+    rows = pd.DataFrame({"part": 0, "row_ord": range(5), "book": "B", "edition": list("12345"), "m_title": "rev.", "m_first": "john", "m_two": False, "m_three": False, "m_raw": lasts, "m_place": places, "m_post": "", "trade": "", "m_body": ""})
+    rows = rows.assign(sig_title="rev.", sig_first="john", sig_last=lasts, sig_post="")
+    facts = pd.DataFrame([(0, 1, need, True, "up", "")], columns=["a", "b", "need", "unlike", "x", "y"])
+    assert [c.tolist() for c in clusters._OneByOne(rows, facts).clusters(np.arange(5))] == [want]
